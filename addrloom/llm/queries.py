@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import quality, simhash, token_files, url_filter
+from . import decontaminate, mixing, quality, simhash, token_files, url_filter
 
-MODULES = (quality, simhash, token_files, url_filter)
+MODULES = (decontaminate, mixing, quality, simhash, token_files, url_filter)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
