@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import keep_rows, table
 
 WINDOW = 10
 PIECE = 4 << 20  # bytes of a shard, and of a text that is searched at once
@@ -236,11 +236,32 @@ def judge_long(text: bytes, blocks: list, window: int, piece: int) -> tuple:
     return len(start), int(cover.sum()), items, longest
 
 
+def broadcast_blocks(benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, item_id: str = "item_id", item_text: str = "text") -> list:
+    """The test items, row by row from the table, as broadcast blocks of about `block` bytes."""
+    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
+    send = benchmark.sparkSession.sparkContext.broadcast
+    return [send(x) for x in blocks_of(((r.i, r.t.encode()) for r in rows.toLocalIterator()), window, block)]
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, piece: int = PIECE) -> DataFrame:
+    """The rows of docs, with their own columns, that hold no window of the benchmark."""
+    blocks = broadcast_blocks(benchmark, window)
+
+    def make_mask():
+        def mask(texts: list[bytes]) -> list[bool]:
+            short = [x for x in texts if len(x) <= piece]
+            s = Shard(short, window)
+            found = iter(s.matches(x.value for x in blocks)[1])
+            return [not (next(found) if len(x) <= piece else judge_long(x, blocks, window, piece)[2]) for x in texts]
+
+        return mask
+
+    return keep_rows(docs, text, make_mask, piece)
+
+
 def judge(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, piece: int = PIECE, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, n_hit, items (the ids, sorted as strings), longest match (words, start word, item) for each row."""
-    spark = docs.sparkSession
-    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
-    blocks = [spark.sparkContext.broadcast(x) for x in blocks_of(((r.i, r.t.encode()) for r in rows.toLocalIterator()), window, block)]
+    blocks = broadcast_blocks(benchmark, window, block, item_id, item_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(ids: list, results: list) -> pa.RecordBatch:
