@@ -202,9 +202,18 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     named = comp.join(distinct, comp.node == distinct.fp).groupBy("root").agg(F.min("rep").alias("component_id"))
     changed = comp.join(named, "root").select(F.col("node").alias("fp"), "component_id")
     reps = distinct.join(changed, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    reps = materialise(reps, "simhash-reps")  # then both sides of the last join are plain exchanges, whose hot keys AQE can split
     return prints.join(reps, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with their own columns, less the documents whose component has one of a lesser id. Rows of one id are one
+    document."""
+    found = groups(docs, doc_id, text)
+    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
+    return docs.join(materialise(lost, "simhash-lost"), F.col(doc_id) == F.col("_lost"), "left_anti")
+
+
 def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
