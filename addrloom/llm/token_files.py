@@ -18,7 +18,9 @@ size of the files. The memory of chunks already encoded is bounded and changes n
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path, materialise, table
 
 MAGIC = b"ALZDOC1\n"
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 800_000
 _MEMO: dict = {}
 
 
@@ -38,8 +40,9 @@ class ChunkEncoder:
     """Encodes a text chunk by chunk (chunks lie between ASCII blanks) and remembers chunks it has seen.
 
     It serves tokenizers whose pre-tokenizer never joins characters across white space and drops white space, as
-    `word_bpe_49k.json` does; then the ids of a text are those of its chunks, in order. Of a new chunk that is a word
-    of ASCII and Latin-1 letters and trailing marks, the two parts are looked up alone, as the pre-tokenizer parts them.
+    `word_bpe_49k.json` does; then the ids of a text are those of its chunks, in order. A new chunk
+    that is a word of ASCII and Latin-1 letters with trailing marks is put together from the word in lower case and the
+    marks, since the normalizer lower-cases and the pre-tokenizer parts the two.
     """
 
     TAIL = b".,!?$%&*|#;:"
@@ -49,36 +52,60 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(f"<u{width}")
+        self.letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
         self.memo: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _one_by_one(self, names: list[bytes], into: dict) -> None:
+        for name, e in zip(names, self.tokenizer.encode_batch_fast([x.decode() for x in names], add_special_tokens=False)):
+            into[name] = np.array(e.ids, dtype=self.dtype).tobytes()
+
+    def _learn_words(self, names: list[str], at_once: int = 50_000) -> None:
+        """A word of letters is one piece, whose last token alone ends a word: many are encoded as one text and cut there."""
+        for a in range(0, len(names), at_once):
+            part = names[a : a + at_once]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                data, cuts = ids.astype(self.dtype).tobytes(), (ends * self.dtype.itemsize).tolist()
+                self.words.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
+            else:  # a vocabulary without word ends
+                for name, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                    self.words[name] = np.array(e.ids, dtype=self.dtype).tobytes()
 
     def _learn(self, chunks: list[bytes]) -> None:
-        memo, later, direct = self.memo, [], set()
+        words, simple, others = self.words, [], []
         for c in chunks:
             core = c.rstrip(self.TAIL)
-            if core and len(core) < len(c) and (word := core.decode()).isalpha() and max(word) < "Ā":
-                tail = c[len(core) :]
-                later.append((c, core, tail))
-                direct.update(x for x in (core, tail) if x not in memo)
-            elif c not in memo:
-                direct.add(c)
-        names = list(direct)
-        for name, e in zip(names, self.tokenizer.encode_batch_fast([x.decode() for x in names], add_special_tokens=False)):
-            memo[name] = np.array(e.ids, dtype=self.dtype).tobytes()
-        for c, core, tail in later:
-            memo[c] = memo[core] + memo[tail]
+            if self.letters(w := core.decode()):
+                simple.append((c, w.lower(), c[len(core) :]))
+            else:
+                others.append(c)
+        self._learn_words(list({w for _, w, _ in simple if w not in words}))
+        self._one_by_one(list({x for _, _, x in simple if x not in self.tails}), self.tails)
+        self._one_by_one(others, self.memo)
+        tails = self.tails
+        self.memo.update((c, words[w] + tails[x]) for c, w, x in simple)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
+        for known in (self.memo, self.words, self.tails):
+            if len(known) > MEMO_ENTRIES:
+                known.clear()
         parts = [x.split() for x in texts]
         new: set[bytes] = set()
         for p in parts:
             new.update(p)
-        new.difference_update(self.memo.keys())
-        if new:
-            self._learn(list(new))
-        get = self.memo.__getitem__
+        memo = self.memo
+        if unknown := [x for x in new if x not in memo]:
+            gc.disable()  # many small objects and no cycles
+            self._learn(unknown)
+            gc.enable()
+        get = memo.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
 
@@ -197,7 +224,10 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | N
         task = TaskContext.get()
         uri = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}"
         encode = encoder(tokenizer_path, width).encode
-        zipper = zstandard.ZstdCompressor(level=level, dict_data=_zdict(data), write_content_size=True)
+        zdict = _zdict(data)
+        if zdict:
+            zdict.precompute_compress(level=level)  # else every frame would digest the dictionary anew
+        zipper = zstandard.ZstdCompressor(level=level, dict_data=zdict, write_content_size=True)
         ids, nulls, sizes, counts = [], [], [], []
 
         def content() -> Iterator[bytes]:
