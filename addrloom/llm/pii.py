@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, release, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "national_id", "secret", "written_email")
@@ -133,6 +133,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                 base.append([dict(zip(("kind", "a", "b"), s)) for s in found])
                 more.append([dict(zip(("kind", "a", "b", "votes"), s)) for s in candidates(t, found)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.list_(span)), pa.array(more, pa.list_(cand))], names=["doc_id", "base", "candidates"])
+        release()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, base array<struct<kind:string,a:long,b:long>>, candidates array<struct<kind:string,a:long,b:long,votes:string>>")
@@ -206,8 +207,11 @@ def joined(spans):
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, BASE), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
 
 
 QUERIES = {"op6_personal_data": op6_personal_data}

@@ -1,5 +1,6 @@
 """Toxicity, personal data, HTML text, chat quotes, quality rules, url filter."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -86,6 +87,16 @@ def test_base_spans_equal_the_patterns(spark):
         assert r.b == brute_base((PII_TEXTS + more)[r.doc_id] or ""), (PII_TEXTS + more)[r.doc_id]
 
 
+def test_personal_data_query(spark):
+    d = "/root/testdata/sf0.001"
+    texts_of = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    for r in P.op6_personal_data(spark, d).collect():
+        base = brute_base(texts_of[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [base.count(f"{k}:") for k in P.BASE]
+        assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
+
+
 def test_added_spans(spark):
     rows = [(i, f'text token = "{i:040x}" more' if i % 2 else f"plain {i} = 3 text") for i in range(1000, 1200)]
     got = P.find(texts(spark, rows + ODD)).where("doc_id >= 1000").collect()
