@@ -40,6 +40,21 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def release() -> None:
+    """Gives memory that a task of a Python worker has freed back to the machine; workers live on between tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def keep_rows(df: DataFrame, text: str, make_mask, group_bytes: int = 4 << 20) -> DataFrame:
     """The rows of df, with all their columns, for which a mask over groups of texts is true. make_mask() is called once a task and
     returns a function from a list of texts, as bytes, to their verdicts. Nothing is shuffled."""
@@ -59,5 +74,6 @@ def keep_rows(df: DataFrame, text: str, make_mask, group_bytes: int = 4 << 20) -
                     group, size = [], 0
             keep += mask(group) if group else []
             yield batch.filter(pa.array(keep, pa.bool_()))
+        release()
 
     return df.mapInArrow(run, df.schema)

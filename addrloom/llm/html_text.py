@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, table
 from .url_filter import split_url
 
-PAGES_A_PART = 2000
+PAGES_A_PART = 500
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "object", "canvas", "title")}
@@ -163,6 +163,13 @@ def hash_line(text: str) -> int:
     return zlib.crc32(b) << 32 | zlib.adler32(b)
 
 
+def _seeds(spark: SparkSession, parts: int) -> list[int]:
+    """For each part a number that Spark's hash partitioning sends to a partition of its own."""
+    found = spark.range(40 * parts + 200).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p"), F.col("id").cast("int").alias("id"))
+    got = {r.p: r.id for r in found.groupBy("p").agg(F.min("id").alias("id")).collect()}
+    return [got.get(p, p) for p in range(parts)]
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", pages_a_part: int = PAGES_A_PART) -> DataFrame:
     """page_id, url, text, n_lines (before differencing) for each row."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
@@ -177,6 +184,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         keys = sorted((r.host, r.path, -1 if r.page_id is None else r.page_id) for r in sample.collect())  # bounded: about 30 keys a part
         cuts = sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if keys else []
 
+    seeds = _seeds(pages.sparkSession, len(cuts) + 1)
+
     @F.udf("int", useArrow=True)
     def part_of(host: str, path: str, page: int) -> int:
         return bisect_right(cuts, (host, path, -1 if page is None else page))
@@ -191,17 +200,14 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                 ghosts[tuple(a.high)] = b.part
                 ghosts[(*b.low, "back")] = a.part
 
-    @F.udf("array<int>", useArrow=True)
+    @F.udf("array<struct<to:int,seed:int>>", useArrow=True)
     def parts_of(host: str, path: str, page: int, part: int) -> list:
         k = (host, path, -1 if page is None else page)
-        return [part, *(g for g in (ghosts.get(k), ghosts.get((*k, "back"))) if g is not None)]
+        return [(p, seeds[p]) for p in (part, ghosts.get(k), ghosts.get((*k, "back"))) if p is not None]
 
-    if ghosts:
-        dealt = dealt.withColumn("to", F.explode(parts_of("host", "path", "page_id", "part")))
-    else:
-        dealt = dealt.withColumn("to", F.col("part"))
+    dealt = dealt.withColumn("_to", F.explode(parts_of("host", "path", "page_id", "part"))).withColumns({"to": F.col("_to.to"), "seed": F.col("_to.seed")})
     dealt = dealt.withColumn("ghost", F.col("to") != F.col("part"))
-    dealt = dealt.repartition(len(cuts) + 1, "to").withColumn("_h", F.xxhash64("html")).sortWithinPartitions("to", "host", "path", "page_id", "_h").select("to", "host", "ghost", "page_id", "url", "html")
+    dealt = dealt.repartition(len(cuts) + 1, "seed").withColumn("_h", F.xxhash64("html")).sortWithinPartitions("to", "host", "path", "page_id", "_h").select("to", "host", "ghost", "page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, urls, texts, counts = [], [], [], []
@@ -243,6 +249,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         if first is not None:
             put(first, None)
         yield out()
+        release()
 
     return dealt.mapInArrow(run, "page_id long, url string, text string, n_lines long")
 
