@@ -29,20 +29,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, table
+from .common import fresh_path, materialise, release, table
 
 MAGIC = b"ALZDOC1\n"
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 200_000
 _MEMO: dict = {}
+#: Of Latin-1: its lower case, and the kinds of its characters: blanks, `a` letters and digits, `.` full stop and comma, `#` others.
+LOWER = bytes(ord(chr(c).lower()) if len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 256 else c for c in range(256))
+KINDS = bytes(ord(" " if chr(c) in " \t\n\x0b\f\r" else "." if chr(c) in ".," else "a" if chr(c).isascii() and chr(c).isalnum() or 192 <= c and c not in (215, 247) else "#") for c in range(256))
 
 
 class ChunkEncoder:
     """Encodes a text chunk by chunk (chunks lie between ASCII blanks) and remembers chunks it has seen.
 
     It serves tokenizers whose pre-tokenizer never joins characters across white space and drops white space, as
-    `word_bpe_49k.json` does; then the ids of a text are those of its chunks, in order. A new chunk
-    that is a word of ASCII and Latin-1 letters with trailing marks is put together from the word in lower case and the
-    marks, since the normalizer lower-cases and the pre-tokenizer parts the two.
+    `word_bpe_49k.json` does; then the ids of a text are those of its chunks, in order.
     """
 
     TAIL = b".,!?$%&*|#;:"
@@ -53,60 +54,86 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(f"<u{width}")
         self.letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-        self.memo: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.tails: dict[bytes, bytes] = {}
+        self.plain: tuple[dict, dict] = ({}, {})
+        self.mixed: tuple[dict, dict] = ({}, {})
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _one_by_one(self, names: list[bytes], into: dict) -> None:
-        for name, e in zip(names, self.tokenizer.encode_batch_fast([x.decode() for x in names], add_special_tokens=False)):
-            into[name] = np.array(e.ids, dtype=self.dtype).tobytes()
-
-    def _learn_words(self, names: list[str], at_once: int = 50_000) -> None:
-        """A word of letters is one piece, whose last token alone ends a word: many are encoded as one text and cut there."""
+    def parted(self, text: bytes) -> tuple[list[bytes], bool]:
+        """The chunks of a text, and whether they are Latin-1 in lower case: so for a text in Latin-1 whose full stops and commas touch no
+        other mark. Those are pieces of their own then and are set apart, which leaves far fewer different chunks."""
+        try:
+            latin = text.decode().encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split(), False
+        kinds = latin.translate(KINDS)
+        if b".." in kinds or b".#" in kinds or b"#." in kinds or b"<|" in latin:
+            return text.split(), False
+        return latin.translate(LOWER).replace(b".", b" . ").replace(b",", b" , ").split(), True
+
+    def _known(self, parts: list[list[bytes]], memo: dict, older: dict, learn) -> tuple[dict, dict]:
+        """Both generations of a memory, in which all chunks of the parts are known: what is met again moves to the new one."""
+        if len(memo) > MEMO_ENTRIES:
+            memo, older = {}, memo
+        new: set[bytes] = set()
+        for p in parts:
+            new.update(p)
+        fresh = [x for x in new if x not in memo]
+        for x in fresh:
+            if x in older:
+                memo[x] = older[x]
+        if unknown := [x for x in fresh if x not in memo]:
+            gc.disable()  # many small objects and no cycles
+            learn(unknown, memo)
+            gc.enable()
+        return memo, older
+
+    def _learn_plain(self, chunks: list[bytes], memo: dict) -> None:
+        words = [x for x in chunks if x.isalpha() or self.letters(x.decode("latin-1"))]
+        self._learn_words(words, memo)
+        others = [x for x in chunks if x not in memo]
+        for x, e in zip(others, self.tokenizer.encode_batch_fast([x.decode("latin-1") for x in others], add_special_tokens=False)):
+            memo[x] = np.array(e.ids, dtype=self.dtype).tobytes()
+
+    def _learn_words(self, names: list[bytes], memo: dict, at_once: int = 50_000) -> None:
+        """A word of letters is one piece, whose last token alone ends a word: many are encoded as one text and cut there. Where a
+        vocabulary has no word ends, they stay unknown here."""
         for a in range(0, len(names), at_once):
             part = names[a : a + at_once]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids)
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode("latin-1")], add_special_tokens=False)[0].ids)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part):
                 data, cuts = ids.astype(self.dtype).tobytes(), (ends * self.dtype.itemsize).tolist()
-                self.words.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
-            else:  # a vocabulary without word ends
-                for name, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    self.words[name] = np.array(e.ids, dtype=self.dtype).tobytes()
+                memo.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        words, simple, others = self.words, [], []
+    def _learn_mixed(self, chunks: list[bytes], memo: dict) -> None:
+        """A word of Latin-1 letters with marks behind it is put together from the word in lower case and the marks."""
+        simple, others, words, plain = [], [], {}, self.plain[0]
         for c in chunks:
             core = c.rstrip(self.TAIL)
-            if self.letters(w := core.decode()):
-                simple.append((c, w.lower(), c[len(core) :]))
+            if core and self.letters(w := core.decode()):
+                word, tail = w.encode("latin-1").translate(LOWER), c[len(core) :]
+                words[word] = plain.get(word)
+                if tail and tail not in memo:
+                    others.append(tail)
+                simple.append((c, word, tail))
             else:
                 others.append(c)
-        self._learn_words(list({w for _, w, _ in simple if w not in words}))
-        self._one_by_one(list({x for _, _, x in simple if x not in self.tails}), self.tails)
-        self._one_by_one(others, self.memo)
-        tails = self.tails
-        self.memo.update((c, words[w] + tails[x]) for c, w, x in simple)
+        self._learn_words([w for w, ids in words.items() if ids is None], words)
+        others += [c for c, w, _ in simple if words[w] is None]
+        others = list(set(others))
+        for x, e in zip(others, self.tokenizer.encode_batch_fast([x.decode() for x in others], add_special_tokens=False)):
+            memo[x] = np.array(e.ids, dtype=self.dtype).tobytes()
+        memo.update((c, words[w] + memo[tail] if tail else words[w]) for c, w, tail in simple if words[w] is not None)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
-        for known in (self.memo, self.words, self.tails):
-            if len(known) > MEMO_ENTRIES:
-                known.clear()
-        parts = [x.split() for x in texts]
-        new: set[bytes] = set()
-        for p in parts:
-            new.update(p)
-        memo = self.memo
-        if unknown := [x for x in new if x not in memo]:
-            gc.disable()  # many small objects and no cycles
-            self._learn(unknown)
-            gc.enable()
-        get = memo.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        parts = [self.parted(x) for x in texts]
+        self.plain = self._known([p for p, plain in parts if plain], *self.plain, self._learn_plain)
+        self.mixed = self._known([p for p, plain in parts if not plain], *self.mixed, self._learn_mixed)
+        plain, mixed = self.plain[0].__getitem__, self.mixed[0].__getitem__
+        return [b"".join(map(plain if is_plain else mixed, p)) for p, is_plain in parts]
 
 
 def encoder(path: str, width: int) -> ChunkEncoder:
@@ -253,6 +280,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | N
             batches = (b for part in ([first], rest) for b in part)
             write_file(uri, content())
             yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int64()), "uri": [uri], "n_docs": pa.array([len(sizes)], pa.int64()), "n_tokens": pa.array([sum(counts)], pa.int64()), "dictionary": [digest]})
+        release()
 
     ordered = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
     manifest = ordered.mapInArrow(shard, "shard long, uri string, n_docs long, n_tokens long, dictionary string")
