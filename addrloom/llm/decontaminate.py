@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_rows, table
+from .common import keep_rows, release, table
 
 WINDOW = 10
 PIECE = 4 << 20  # bytes of a shard, and of a text that is searched at once
@@ -295,6 +295,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
                     ids, texts, size = [], [], 0
         if texts:
             yield out(ids, shard(texts))
+        release()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, longest_words long, longest_start long, longest_item string")

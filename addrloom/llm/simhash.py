@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, release, table
 
 SEED, SHINGLE, DISTANCE, MOST = 42, 3, 2, 1024
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         for b in batches:
             fps = np.fromiter((fingerprint(x.as_py() or b"") for x in b.column(1).cast(pa.large_binary())), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        release()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")

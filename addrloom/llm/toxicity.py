@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_rows, table
+from .common import keep_rows, release, table
 
 MOST_TRAINING = 3000
 THRESHOLD = 0.7
@@ -121,7 +121,7 @@ FIXED = {w: s for s, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION,
 class Reader:
     """Turns a text into its clause weights. What a chunk between blanks means is remembered, up to a bound."""
 
-    def __init__(self, lexicon: Lexicon, most: int = 300_000):
+    def __init__(self, lexicon: Lexicon, most: int = 200_000):
         self.lexicon, self.most = lexicon, most
         self.memo: dict[bytes, tuple | None] = {}
 
@@ -262,6 +262,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             x = np.array([features(*reader.clauses(t.as_py() or b"")) for t in batch.column(1).cast(pa.large_binary())]).reshape(-1, len(b))
             s = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(s, 9))], names=["doc_id", "score"])
+        release()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")
@@ -272,7 +273,7 @@ def mild_rows(docs: DataFrame, model: Model, text: str = "text", threshold: floa
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make_mask():
-        own = sent.value
+        own = Model(sent.value.lexicon, sent.value.coefficients)  # its reader's memory ends with the task
         return lambda texts: [round(s, 9) < threshold for s in own.scores(texts)]
 
     return keep_rows(docs, text, make_mask)
