@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import chain
+import json
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,9 +70,19 @@ ZIP3 = {f"{z:03d}": state for low, high, state in ZIP3_RANGES for z in range(low
 
 
 def literal(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])
+    """A map literal: one small expression that the optimizer folds to a constant, where a map of literals would be analysed entry by entry."""
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
     """The entry of a key, or null."""
     return F.try_element_at(literal(table), key)
+
+
+def within(values: Iterable[str], key: Column) -> Column:
+    """Whether a key is one of many values: a folded array."""
+    return F.array_contains(F.split(F.lit("|".join(sorted(values))), r"\|"), key)
+
+
+#: The state of each three-digit prefix at its number, empty where there is none.
+ZIP3_SLOTS = "|".join(ZIP3.get(f"{z:03d}", "") for z in range(1000))

@@ -16,12 +16,9 @@ LOOKUPS = {"directions": dims.DIRECTIONS, "suffixes": dims.SUFFIXES}
 
 
 def zip3_state(zip5: Column) -> Column:
-    """The state of a ZIP by its first three digits, or null: the ranges as one CASE."""
-    n = F.substring(zip5, 1, 3).try_cast("int")
-    out = None
-    for low, high, state in dims.ZIP3_RANGES:
-        out = F.when(n.between(low, high), state) if out is None else out.when(n.between(low, high), state)
-    return F.when(F.length(zip5) >= 3, out)
+    """The state of a ZIP by its first three digits, or null: an array slot, so that no range is compared."""
+    n = F.when(zip5.rlike(r"^\d{3}"), F.substring(zip5, 1, 3)).cast("int")
+    return F.nullif(F.get(F.split(F.lit(dims.ZIP3_SLOTS), r"\|"), n), F.lit(""))
 
 
 def us_state(state: Column, zip5: Column | None = None) -> Column:
@@ -31,7 +28,7 @@ def us_state(state: Column, zip5: Column | None = None) -> Column:
     code = F.coalesce(dims.lookup(dims.STATES, clean), clean)
     if zip5 is None:
         return code
-    return F.when(code.isin(*sorted(dims.STATE_CODES)), code).otherwise(F.coalesce(zip3_state(zip5), code))
+    return F.when(dims.within(dims.STATE_CODES, code), code).otherwise(F.coalesce(zip3_state(zip5), code))
 
 
 def us_postal(postal: Column) -> Column:
@@ -45,7 +42,7 @@ def us_postal(postal: Column) -> Column:
 
 def swap_city_state(city: Column, state: Column) -> Column:
     """(city, state), exchanged where only the city field is a state."""
-    is_state = lambda c: F.coalesce(F.upper(F.regexp_replace(c, r"^[ .]+|[ .]+$", "")).isin(*dims.STATES, *sorted(dims.STATE_CODES)), F.lit(False))
+    is_state = lambda c: F.coalesce(dims.within((*dims.STATES, *dims.STATE_CODES), F.upper(F.regexp_replace(c, r"^[ .]+|[ .]+$", ""))), F.lit(False))
     swap = is_state(city) & ~is_state(state) & (F.coalesce(state, F.lit("")) != "")
     return F.struct(F.when(swap, state).otherwise(city).alias("city"), F.when(swap, city).otherwise(state).alias("state"))
 

@@ -64,16 +64,16 @@ def confidence(df: DataFrame, metro_zip3: tuple[str, ...] = METRO_ZIP3) -> DataF
     failed = (F.col("address_status") == "parse_failed") | (s1 == "")
     special = s1.startswith("PO BOX") | s1.rlike("^(RR|HC) ") | F.col("is_private_residence") | s1.contains(" & ")
     no_number = ~special & ~F.split(s1, " ")[0].rlike(r"\d")
-    odd_city = F.col("city").rlike(r"\d") | F.col("city").isin(*dims.DIRECTIONS)
-    bad_state = ~F.col("state").isin(*sorted(dims.STATE_CODES))
+    odd_city = F.col("city").rlike(r"\d") | dims.within(dims.DIRECTIONS, F.col("city"))
+    bad_state = ~dims.within(dims.STATE_CODES, F.col("state"))
     no_zip = F.length("zip5") != 5
-    no_suffix = ~special & ~F.exists(F.split(s1, " "), lambda t: t.isin(*set(dims.SUFFIXES.values())))
+    no_suffix = ~special & ~F.exists(F.split(s1, " "), lambda t: dims.within(set(dims.SUFFIXES.values()), t))
     mismatch = ~no_zip & ~zip_agrees(F.col("state"), F.col("zip5"))
     lose = lambda cond, x: F.when(cond, F.lit(x)).otherwise(F.lit(0.0))
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     has_city = F.length("city") >= 2
     by_zip = zip3_state(F.col("zip5"))
-    geo = F.when(F.substring("zip5", 1, 3).isin(*metro_zip3), 0.92).when(by_zip.isNotNull() | ~bad_state, 0.85).otherwise(0.50)
+    geo = F.when(dims.within(metro_zip3, F.substring("zip5", 1, 3)), 0.92).when(by_zip.isNotNull() | ~bad_state, 0.85).otherwise(0.50)
     parts = {
         "s_parse": clamp(1.0 - lose(no_number, 0.35) - lose(odd_city, 0.25)),
         "s_ref": clamp(1.0 - lose(bad_state, 0.40) - F.when(no_zip & ~bad_state & has_city, 0.15).when(no_zip, 0.30).otherwise(0.0) - lose(no_suffix, 0.20)),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,8 +116,6 @@ def register_functions(spark: SparkSession) -> None:
 
 def _as_udf(name: str):
     """Arrow functions with the rule parser's results, for SQL text; tables should use `standardize`, whose expressions stay in the JVM."""
-    import pandas as pd
-
     from ..functions import dims
     from ..functions.rules import parse_street
 
