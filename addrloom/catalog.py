@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import fixtures as X
-from .functions import country, dims, text, us
-from .operators import entity, evaluation, ledger, lookup, scoring, search
+from .functions import country, dims, layout, text, us
+from .operators import entity, evaluation, ledger, lookup, reference, registry, scoring, search
 from .plans.standardize import dedupe_apply, split_line, standardized
 from .sources import files
 
@@ -526,3 +526,59 @@ def table_counts(spark, d):
 @query(STD + "SELECT DISTINCT state, zip5 FROM std")
 def distinct_states_and_zips(spark, d):
     return std(spark, d).select("state", "zip5").distinct()
+
+
+# hubs, reference checks, layouts
+
+_HUBS = """SELECT 1 AS ord, 'Tower' AS provider, 'REGISTERED_AGENT' AS category, CAST(0.9 AS DOUBLE) AS risk, 'NY' AS state, '' AS city, 'OAK ST' AS street_pattern, '' AS unit_pattern
+UNION ALL SELECT 2, 'Suites', 'VIRTUAL_OFFICE', CAST(0.7 AS DOUBLE), 'TX', 'DALLAS', 'MAPLE', 'STE 200' UNION ALL SELECT 3, 'Late', 'REGISTERED_AGENT', CAST(0.5 AS DOUBLE), 'NY', '', 'OAK', ''
+UNION ALL SELECT 4, 'Number', 'MAIL_DROP', CAST(0.6 AS DOUBLE), 'CO', '', '5TH', ''"""
+
+
+@query(STD + f""", h AS ({_HUBS}), u AS (SELECT DISTINCT addr_id, street1, street2, city, state FROM std),
+m AS (SELECT u.addr_id AS id, provider, category, risk, row_number() OVER (PARTITION BY addr_id ORDER BY ord) AS n FROM u JOIN h ON u.state = h.state AND (h.city = '' OR h.city = u.city)
+  AND regexp_matches(street1, '(^|[^A-Z0-9])' || street_pattern || '($|[^A-Z0-9])') AND (unit_pattern = '' OR regexp_matches(street2, '(^|[^A-Z0-9])' || unit_pattern || '($|[^A-Z0-9])')))
+SELECT id, provider, category, risk FROM m WHERE n = 1""")
+def corporate_hubs(spark, d):
+    rows = std(spark, d).select(F.col("addr_id").alias("id"), "street1", "street2", "city", "state").distinct()
+    return registry.match_hubs(rows, spark.sql(_HUBS)).select("id", "provider", "category", "risk")
+
+
+_PLACES = "SELECT 'US' AS country, '10005' AS postal, 'New York' AS place, 'NY' AS admin1_code UNION ALL SELECT 'US', '75210', 'Dallas', 'TX' UNION ALL SELECT 'US', '60611', 'Evanston', 'IL' UNION ALL SELECT 'US', '80213', 'Denver', 'XX' UNION ALL SELECT 'US', '33122', 'Miam', 'FL'"
+
+
+@query(STD + f""", p AS ({_PLACES}), u AS (SELECT DISTINCT addr_id AS id, zip5, city, state FROM std)
+SELECT id, CASE WHEN zip5 = '' THEN 'not_checked' WHEN place IS NULL THEN 'postal_unknown' WHEN state <> '' AND state <> admin1_code THEN 'state_mismatch' WHEN damerau_levenshtein(city, upper(place)) <= 1 THEN 'confirmed' ELSE 'place_mismatch' END AS status
+FROM u LEFT JOIN p ON zip5 = postal""")
+def reference_checks(spark, d):
+    rows = std(spark, d).select(F.col("addr_id").alias("id"), F.col("zip5").alias("postal_code"), "city", "state", F.lit("US").alias("iso2")).distinct()
+    return reference.validate(rows, spark.sql(_PLACES))
+
+
+_L3 = X.pick(("USA", "DEU", "JPN", "GBR", "MEX", "HKG"), "addr_id")
+
+
+@query(f"""WITH q AS (SELECT DISTINCT addr_id, street1, city, state, postal_code, {_L3} AS i FROM {_A})
+SELECT addr_id, CASE WHEN i = 'JPN' THEN concat_ws(chr(10), 'C', postal_code, trim(concat_ws(' ', nullif(state, ''), city)), street1) WHEN i IN ('DEU', 'MEX') THEN concat_ws(chr(10), street1, postal_code || ' ' || city, nullif(state, ''), 'C')
+  ELSE concat_ws(chr(10), street1, concat_ws(' ', city, nullif(state, ''), postal_code), 'C') END AS lines FROM q""")
+def postal_layouts(spark, d):
+    q = X.view(spark, d, X.ADDR).distinct().withColumn("i", F.expr(_L3))
+    return q.select("addr_id", layout.postal_lines(F.col("street1"), F.col("street2"), F.col("city"), F.col("state"), F.col("postal_code"), F.col("i"), F.lit("C")).alias("lines"))
+
+
+_SCRIPT = X.pick(("Main St", "улица Ленина", "東京都", "ひらがな町", "서울", "Ερμού", ""), "c_custkey")
+
+
+@query(f"SELECT CAST(c_custkey AS BIGINT) AS id, {X.pick(('-', 'RUS', 'CHN', 'JPN', 'KOR', 'GRC', '-'), 'c_custkey')} AS iso3, {X.pick(('Main St', 'ulitsa Lenina', '東京都', 'ひらがな町', '서울', 'Ermoύ', ''), 'c_custkey')} AS latin FROM customer")
+def scripts(spark, d):
+    q = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"), F.expr(_SCRIPT).alias("s"))
+    return q.select("id", F.coalesce(layout.script_country(F.col("s")), F.lit("-")).alias("iso3"), layout.transliterate(F.col("s")).alias("latin"))
+
+
+@query(STD + f""", k AS (SELECT addr_id AS id, {KEY_SQL} AS address_key, {BUILDING_SQL} AS building_key FROM std), t AS (SELECT * FROM k WHERE id % 5 = 0), ek AS (SELECT address_key, min(id) AS rooftop FROM t GROUP BY 1), bk AS (SELECT building_key, min(id) AS rooftop FROM t GROUP BY 1)
+SELECT id, CASE WHEN ek.rooftop IS NOT NULL THEN 'KEY' WHEN bk.rooftop IS NOT NULL THEN 'BUILDING' END AS stage, coalesce(ek.rooftop, bk.rooftop) AS rooftop FROM k LEFT JOIN ek ON k.address_key = ek.address_key LEFT JOIN bk ON k.building_key = bk.building_key""")
+def rooftop_cascade(spark, d):
+    k = std(spark, d).select(F.col("addr_id").alias("id"), F.col("normalized_address_key").alias("address_key"), "building_key")
+    t = k.where("id % 5 = 0").select("address_key", "building_key", F.col("id").alias("rooftop"), F.col("id").alias("ord"))
+    out = lookup.coalesce_lookups(k, "id", [("KEY", t, ["address_key"], "ord"), ("BUILDING", t, ["building_key"], "ord")], ["rooftop"])
+    return out.select("id", "stage", "rooftop")
