@@ -38,9 +38,10 @@ def reliability(df: DataFrame, n_bins: int = 10, score: str = "score", correct:
 
 def calibration_error(df: DataFrame, n_bins: int = 10, score: str = "score", correct: str = "was_correct") -> DataFrame:
     """One row: expected calibration error and Brier score."""
-    bins = reliability(df, n_bins, score, correct)
-    ece = bins.agg((F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("mean_confidence"))) / F.sum("n")).alias("ece"))
-    return ece.crossJoin(df.agg(F.avg(F.pow(F.col(score) - F.col(correct).cast("double"), 2)).alias("brier")))  # one row by one row
+    ok = F.col(correct).cast("double")
+    b = F.least(F.floor(F.col(score) * n_bins), F.lit(n_bins - 1))
+    bins = df.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.abs(F.avg(score) - F.avg(ok)).alias("gap"), F.sum(F.pow(F.col(score) - ok, 2)).alias("sq"))
+    return bins.agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"), (F.sum("sq") / F.sum("n")).alias("brier"))
 
 
 def fit_isotonic(df: DataFrame, score: str = "score", correct: str = "was_correct", digits: int | None = 4) -> tuple[list[float], list[float]]:

@@ -26,12 +26,9 @@ def _having_all(index: DataFrame, tokens: list[str], typos: bool) -> DataFrame:
     out = None
     for k, t in enumerate(tokens):
         exact = index.where(F.col("prefix") == t).select("rec_id").distinct().withColumn(f"_t{k}", F.lit(False))
-        if typos and len(t) >= 3:
+        if typos and len(t) >= 3 and exact.isEmpty():
             close = index.where(F.length("prefix").between(len(t) - 1, len(t) + 1)).where(within_one_edit(F.col("prefix"), F.lit(t)))
-            found = close.withColumn("_e", F.col("prefix") == t)
-            any_exact = found.agg(F.max("_e").alias("_any"))
-            hits = found.join(F.broadcast(any_exact)).where(F.col("_e") | ~F.coalesce("_any", F.lit(False)))  # one row
-            exact = hits.groupBy("rec_id").agg((~F.max("_e")).alias(f"_t{k}"))
+            exact = close.select("rec_id").distinct().withColumn(f"_t{k}", F.lit(True))
         out = exact if out is None else out.join(exact, "rec_id")
     flags = [F.col(f"_t{k}") for k in range(len(tokens))]
     typo = flags[0]
