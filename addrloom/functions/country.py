@@ -76,11 +76,8 @@ def validate_postal(rows: DataFrame, code: str = "postal_code", country: str = "
 
 def extract_postal(text: Column, iso3: Column) -> Column:
     """The last code of the country's pattern in a text that stands alone, or empty."""
-    up = F.upper(F.coalesce(text, F.lit("")))
-    out = None
-    for code, _, _, pattern, _ in COUNTRIES:
-        if pattern:
-            found = F.regexp_extract_all(up, F.lit(rf"(?<![A-Z0-9])({pattern})(?![A-Z0-9])"), 1)
-            value = F.coalesce(F.get(found, F.size(found) - 1), F.lit(""))
-            out = F.when(iso3 == code, value) if out is None else out.when(iso3 == code, value)
-    return out.otherwise("")
+    from .dims import lookup
+
+    pattern = lookup({code: rf"(?<![A-Z0-9])({p})(?![A-Z0-9])" for code, _, _, p, _ in COUNTRIES if p}, iso3)
+    found = F.regexp_extract_all(F.upper(F.coalesce(text, F.lit(""))), pattern, 1)
+    return F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))

@@ -28,9 +28,14 @@ def zip_agrees(state: Column, zip5: Column) -> Column:
     return F.coalesce(zip3_state(zip5) == state, F.lit(False))
 
 
+def in_us(df: DataFrame) -> Column:
+    """Whether a row is a US address; tables without `is_us` hold no others."""
+    return F.col("is_us") if "is_us" in df.columns else F.lit(True)
+
+
 def delivery(df: DataFrame) -> DataFrame:
     """Adds rdi, cmra, vacant, footnotes, deliverability from street1, street2, city, state, zip5, address_status, is_private_residence, is_hub
-    and raw (the whole input line)."""
+    and raw (the whole input line). Elsewhere than in the US a standardized row is deliverable and nothing more is known."""
     raw = F.upper(F.coalesce("raw", F.lit("")))
     s1, s2, failed = F.col("street1"), F.col("street2"), F.col("address_status") == "parse_failed"
     cmra = F.concat_ws(" ", s1, s2, raw).rlike(r"\bPMB\b|PRIVATE MAILBOX|\bUPS STORE\b|MAIL ?BOXES ETC")
@@ -45,11 +50,12 @@ def delivery(df: DataFrame) -> DataFrame:
         .when(numbered, F.array(F.lit("BB"))).otherwise(F.array(F.lit("M1")))
     )
     notes = F.concat(F.array(F.when(agrees, F.lit("AA")).otherwise(F.lit("A1"))), street)
+    home = in_us(df)
     out = df.withColumns({
-        "cmra": cmra, "vacant": raw.rlike(r"\bVACANT\b"), "footnotes": notes,
-        "rdi": F.when(F.col("is_hub") | cmra | kind.isin(*COMMERCIAL_UNITS), "COMMERCIAL").when(F.col("is_private_residence") | kind.isin(*RESIDENTIAL_UNITS), "RESIDENTIAL").otherwise("UNKNOWN"),
+        "cmra": home & cmra, "vacant": home & raw.rlike(r"\bVACANT\b"), "footnotes": F.when(home, notes).otherwise(F.array().cast("array<string>")),
+        "rdi": F.when(~home, "UNKNOWN").when(F.col("is_hub") | cmra | kind.isin(*COMMERCIAL_UNITS), "COMMERCIAL").when(F.col("is_private_residence") | kind.isin(*RESIDENTIAL_UNITS), "RESIDENTIAL").otherwise("UNKNOWN"),
     })
-    bad = F.arrays_overlap("footnotes", F.array(F.lit("M1"), F.lit("M3"))) | failed | (F.array_contains("footnotes", "A1") & (F.col("zip5") != ""))
+    bad = F.arrays_overlap("footnotes", F.array(F.lit("M1"), F.lit("M3"))) | failed | (home & F.array_contains("footnotes", "A1") & (F.col("zip5") != ""))
     return settle(out.withColumn("deliverability", F.when(bad, "UNDELIVERABLE").when(F.array_contains("footnotes", "N1"), "REQUIRES_SECONDARY").otherwise("DELIVERABLE")))
 
 
@@ -59,7 +65,8 @@ def codes_of(*pairs: tuple[str, Column]) -> Column:
 
 def confidence(df: DataFrame, metro_zip3: tuple[str, ...] = METRO_ZIP3) -> DataFrame:
     """Adds s_parse, s_ref, s_geo, s_cross, composite, tier and reason_codes. The four parts lose points for what is missing or
-    disagrees, and the composite is their weighted sum, rounded to 4 places."""
+    disagrees, and the composite is their weighted sum, rounded to 4 places. Outside the US only a code in the city and a missing
+    city cost points."""
     s1 = F.col("street1")
     failed = (F.col("address_status") == "parse_failed") | (s1 == "")
     special = s1.startswith("PO BOX") | s1.rlike("^(RR|HC) ") | F.col("is_private_residence") | s1.contains(" & ")
@@ -80,9 +87,16 @@ def confidence(df: DataFrame, metro_zip3: tuple[str, ...] = METRO_ZIP3) -> DataF
         "s_geo": clamp(geo - lose(odd_city, 0.30)),
         "s_cross": F.when(by_zip.isNotNull(), F.when(by_zip == F.col("state"), 1.0).when(F.col("state") != "", 0.20).otherwise(0.50)).when((F.length("zip5") < 3) & (F.col("state") == ""), 0.20).otherwise(0.80),
     }
+    home = in_us(df)
+    postal = F.col("postal_code") if "postal_code" in df.columns else F.col("zip5")
+    coded = F.col("city").rlike(r"^\d") | ((F.coalesce(postal, F.lit("")) == "") & F.col("city").rlike(r"\b\d{2,}\b"))
+    abroad = {
+        "s_parse": F.when(coded, 0.75).otherwise(1.0), "s_ref": F.lit(1.0), "s_geo": F.when(coded, 0.50).when(F.col("city") != "", 0.90).otherwise(0.60), "s_cross": F.when(coded, 0.50).otherwise(1.0),
+    }
+    parts = {k: F.when(home, v).otherwise(abroad[k]) for k, v in parts.items()}
     codes = codes_of(
-        ("ERR_EMPTY_STREET", s1 == ""), ("ERR_PARSE_FAILED", failed & (s1 != "")), ("ERR_CITY_ANOMALY", ~failed & odd_city), ("ERR_MISSING_HOUSE_NUM", ~failed & no_number), ("ERR_UNRESOLVED_SUFFIX", ~failed & no_suffix),
-        ("ERR_ZIP_STATE_MISMATCH", ~failed & mismatch), ("WARN_CRA_HUB_DETECTED", F.col("is_hub")), ("WARN_CMRA_DETECTED", F.col("cmra")), ("WARN_RESIDENTIAL_COMM", F.col("is_private_residence")), ("WARN_VACANT_DELIVERY_POINT", F.col("vacant")),
+        ("WARN_POSTAL_IN_CITY", ~home & ~failed & coded), ("ERR_EMPTY_STREET", s1 == ""), ("ERR_PARSE_FAILED", failed & (s1 != "")), ("ERR_CITY_ANOMALY", home & ~failed & odd_city), ("ERR_MISSING_HOUSE_NUM", home & ~failed & no_number), ("ERR_UNRESOLVED_SUFFIX", home & ~failed & no_suffix),
+        ("ERR_ZIP_STATE_MISMATCH", home & ~failed & mismatch), ("WARN_CRA_HUB_DETECTED", F.col("is_hub")), ("WARN_CMRA_DETECTED", F.col("cmra")), ("WARN_RESIDENTIAL_COMM", F.col("is_private_residence")), ("WARN_VACANT_DELIVERY_POINT", F.col("vacant")),
     )
     out = df.withColumns({k: F.when(failed, 0.0).otherwise(v) for k, v in parts.items()} | {"reason_codes": codes})
     total = WEIGHTS["parse"] * F.col("s_parse") + WEIGHTS["ref"] * F.col("s_ref") + WEIGHTS["geo"] * F.col("s_geo") + WEIGHTS["cross"] * F.col("s_cross")

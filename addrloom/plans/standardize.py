@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import us
 from ..functions.country import country_code
+from ..functions.grammar import country_at_end, international
 from ..functions.rules import rule_street
 from ..functions.text import coerce_text, squeeze
 from .barrier import settle
@@ -54,21 +55,24 @@ def standardized(df: DataFrame, columns: dict[str, str] | None = None, allow_loc
     take = lambda k: F.when(F.coalesce(F.col("_line.postal_code"), F.lit("")) != "", F.col(f"_line.{k}")).otherwise(F.col(f"_{k}"))
     out = out.withColumns({f"_{k}": take(k) for k in FIELDS[:5]})
     out = out.withColumn("raw", F.array_join(F.filter(F.array(*[F.col(f"_{k}") for k in FIELDS]), lambda x: x != ""), ", "))
-    out = out.withColumns({"country": country_code(F.col("_country")), "_swap": us.swap_city_state(F.col("_city"), F.col("_state")), "_zip": us.us_postal(F.col("_postal_code"))})
+    named = F.when((F.col("_country") == "") & single, country_at_end(F.col("_street1")))
+    out = out.withColumns({"country": F.coalesce(named, country_code(F.col("_country"))), "_swap": us.swap_city_state(F.col("_city"), F.col("_state")), "_zip": us.us_postal(F.col("_postal_code"))})
     out = out.withColumn("is_us", F.col("country") == "USA")
     out = out.withColumns({"zip5": F.col("_zip.zip5"), "_phrase": us.street_phrase(F.col("_street1"))})
+    intl = international(*[F.col(f"_{k}") for k in FIELDS[:5]], F.col("country"))
+    out = out.withColumn("_intl", F.when(~F.col("is_us"), intl))
     open_ = F.col("is_us") & F.col("_phrase.street1").isNull() & (F.col("_street1") != "")
     out = out.withColumn("_rule", rule_street(F.when(open_, F.col("_street1"))))
     long = F.greatest(*[F.length(f"_{k}") for k in FIELDS]) > MOST_CHARS
     garbage = F.upper("_street1").isin(*us.GARBAGE)
-    street1 = F.when(long | garbage, "").when(~F.col("is_us"), squeeze(F.upper("_street1"))).otherwise(F.coalesce("_phrase.street1", "_rule.street1", F.lit("")))
+    street1 = F.when(long | garbage, "").when(~F.col("is_us"), F.col("_intl.street1")).otherwise(F.coalesce("_phrase.street1", "_rule.street1", F.lit("")))
     own = F.when(F.col("_phrase.street1").isNotNull(), F.col("_phrase.unit")).otherwise(F.coalesce("_rule.unit", F.lit("")))
     second = F.upper(squeeze(F.col("_street2")))
-    second = F.when(F.col("is_us"), F.coalesce(F.nullif(us.unit_of(second), F.lit("")), second)).otherwise(second)
+    second = F.when(F.col("is_us"), F.coalesce(F.nullif(us.unit_of(second), F.lit("")), second)).otherwise(F.col("_intl.street2"))
     out = out.withColumns({
-        "street1": street1, "street2": F.trim(F.concat_ws(" ", second, F.when(F.col("is_us"), own))), "city": us.clean_city(F.col("_swap.city")),
-        "state": F.when(F.col("is_us"), us.us_state(F.col("_swap.state"), F.col("zip5"))).otherwise(F.upper("_swap.state")),
-        "postal_code": F.when(F.col("is_us"), F.col("_zip.formatted")).otherwise(F.upper("_postal_code")),
+        "street1": street1, "street2": F.trim(F.concat_ws(" ", second, F.when(F.col("is_us"), own))), "city": F.when(F.col("is_us"), us.clean_city(F.col("_swap.city"))).otherwise(F.col("_intl.city")),
+        "state": F.when(F.col("is_us"), us.us_state(F.col("_swap.state"), F.col("zip5"))).otherwise(F.col("_intl.state")),
+        "postal_code": F.when(F.col("is_us"), F.col("_zip.formatted")).otherwise(F.col("_intl.postal_code")),
         "parse_path": F.when(~F.col("is_us"), "international").when(F.col("_phrase.street1").isNotNull(), "expression").when(F.coalesce("_rule.understood", F.lit(False)), "rules").otherwise("none"),
     })
     locality = (F.col("street1") == "") & (F.col("city") != "") & ((F.col("state") != "") | (F.col("postal_code") != "")) & ~garbage & ~long
