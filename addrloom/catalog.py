@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import fixtures as X
-from .functions import country, dims, layout, text, us
+from .functions import cleanup, country, dims, grammar, layout, text, us
 from .operators import entity, evaluation, ledger, lookup, reference, registry, scoring, search
 from .plans.standardize import dedupe_apply, split_line, standardized
 from .sources import files
@@ -582,3 +582,82 @@ def rooftop_cascade(spark, d):
     t = k.where("id % 5 = 0").select("address_key", "building_key", F.col("id").alias("rooftop"), F.col("id").alias("ord"))
     out = lookup.coalesce_lookups(k, "id", [("KEY", t, ["address_key"], "ord"), ("BUILDING", t, ["building_key"], "ord")], ["rooftop"])
     return out.select("id", "stage", "rooftop")
+
+
+# clean-up and lines outside the US
+
+_N = "CAST(c_custkey * 7 % 900 + 1 AS VARCHAR(20))"
+_NAME = X.pick(("Oak", "Elm", "Pine Hill"), "c_custkey")
+_WHO = X.pick(("Acme Holdings LLC", "Jane Roe", "Smith & Sons"), "c_custkey")
+_CARE = f"CASE c_custkey % 4 WHEN 0 THEN 'c/o ' || {_WHO} || ', ' || {_N} || ' ' || {_NAME} || ' St' WHEN 1 THEN {_N} || ' ' || {_NAME} || ' St, Attn: ' || {_WHO} WHEN 2 THEN {_N} || ' ' || {_NAME} || ' St (C/O ' || {_WHO} || ')' ELSE {_N} || ' ' || {_NAME} || ' St' END"
+
+
+@query(f"SELECT CAST(c_custkey AS BIGINT) AS id, {_N} || ' ' || {_NAME} || ' St' AS address, CASE WHEN c_custkey % 4 = 3 THEN '' ELSE {_WHO} END AS care_of FROM customer")
+def care_of_clauses(spark, d):
+    q = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"), cleanup.care_of(F.expr(_CARE)).alias("x"))
+    return q.select("id", "x.*")
+
+
+_LINE1 = f"{_N} || ' ' || {_NAME} || ' St'"
+_AGAIN = f"CASE c_custkey % 3 WHEN 0 THEN {_LINE1} || ', ' || {_LINE1} WHEN 1 THEN {_LINE1} || ' ' || {_LINE1} || ' ' || {_LINE1} ELSE {_LINE1} END"
+
+
+@query(f"SELECT CAST(c_custkey AS BIGINT) AS id, {_LINE1} AS line FROM customer")
+def repeats_collapsed(spark, d):
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"), cleanup.collapse_repeats(F.expr(_AGAIN)).alias("line"))
+
+
+_TOWN = X.pick(("New York", "Dallas", "Denver"), "c_custkey")
+_ST = X.pick(("NY", "TX", "CO"), "c_custkey")
+_TAIL = f"CASE c_custkey % 4 WHEN 0 THEN {_LINE1} || ', ' || {_TOWN} || ', ' || {_ST} || ' 10005' WHEN 1 THEN {_LINE1} || ' ' || {_TOWN} || ' ' || {_ST} WHEN 2 THEN {_LINE1} || ', USA' ELSE {_LINE1} END"
+
+
+@query(f"SELECT CAST(c_custkey AS BIGINT) AS id, {_LINE1} AS line FROM customer")
+def tails_cut(spark, d):
+    q = spark.read.parquet(f"{d}/customer.parquet")
+    return q.select(F.col("c_custkey").cast("long").alias("id"), cleanup.redundant_tail(F.expr(_TAIL), F.expr(_TOWN), F.expr(_ST), F.lit("10005")).alias("line"))
+
+
+_CROSS = X.pick(("Cherry and Fourth Streets", "5th Ave & 42nd St", "Corner of Oak Road and Elm Lane", "Routes 60 and 155", "Smith and Jones"), "c_custkey")
+
+
+@query(f"SELECT CAST(c_custkey AS BIGINT) AS id, CASE c_custkey % 5 WHEN 0 THEN 'CHERRY ST & 4TH ST' WHEN 1 THEN '5TH AVE & 42ND ST' WHEN 2 THEN 'OAK RD & ELM LN' WHEN 3 THEN 'RT 60 & RT 155' END AS line FROM customer")
+def corners(spark, d):
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"), cleanup.intersection(F.expr(_CROSS)).alias("line"))
+
+
+@query(f"""WITH q AS (SELECT addr_id, state, postal_code, upper(regexp_replace(state, '\\.', '', 'g')) AS s, regexp_extract(postal_code, '^([0-9]{{5}})', 1) AS z FROM {_A}),
+c AS (SELECT *, coalesce({_map(dims.STATES, 's')}, s) AS code, {_zip3('z')} AS by_zip FROM q), w AS (SELECT *, coalesce(code IN {_in(dims.STATE_CODES)} AND by_zip <> code, false) AS wrong FROM c)
+SELECT addr_id, CASE WHEN wrong THEN by_zip ELSE state END AS state, CASE WHEN wrong THEN state END AS original FROM w""")
+def states_corrected(spark, d):
+    return X.view(spark, d, X.ADDR).select("addr_id", cleanup.correct_state(F.col("state"), F.col("postal_code"), F.lit("")).alias("x")).select("addr_id", "x.*")
+
+
+_NUM = "CAST(100 + o_orderkey * 37 % 900 AS VARCHAR(20))"
+_FITS = "({x} BETWEEN 100 AND 299 OR {x} BETWEEN 500 AND 549)"
+_S1, _S2 = "substr(n, 2, 1) || substr(n, 1, 1) || substr(n, 3, 1)", "substr(n, 1, 1) || substr(n, 3, 1) || substr(n, 2, 1)"
+
+
+@query(f"""WITH q AS (SELECT CAST(o_orderkey AS BIGINT) AS id, {_NUM} AS n FROM orders),
+s AS (SELECT id, n, {_S1} AS a, {_S2} AS b, substr(n, 1, 1) <> substr(n, 2, 1) AND {_FITS.format(x=f'CAST({_S1} AS INTEGER)')} AS fa, substr(n, 2, 1) <> substr(n, 3, 1) AND {_FITS.format(x=f'CAST({_S2} AS INTEGER)')} AS fb FROM q)
+SELECT id, CASE WHEN {_FITS.format(x='CAST(n AS INTEGER)')} THEN n WHEN fa AND NOT fb THEN a WHEN fb AND NOT fa THEN b END AS healed FROM s""")
+def house_numbers_healed(spark, d):
+    ranges = F.expr("array(named_struct('low', 100L, 'high', 299L), named_struct('low', 500L, 'high', 549L))")
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("id"), cleanup.heal_house_number(F.expr(_NUM), ranges).alias("healed"))
+
+
+_ABROAD = f"""CASE c_custkey % 5 WHEN 0 THEN {_NAME} || 'str. ' || {_N} || ', 10115 Berlin, Germany' WHEN 1 THEN 'Av. ' || {_NAME} || ' ' || {_N} || ', Int. 4, 03940 Puebla, PUE, Mexico'
+  WHEN 2 THEN 'Flat 2, ' || {_N} || ' ' || {_NAME} || ' Street, Leeds LS6 2AA, United Kingdom' WHEN 3 THEN '4/' || {_N} || ' ' || {_NAME} || ' Road, Sydney NSW 2000, Australia' ELSE {_N} || ' Rue ' || {_NAME} || ', 75001 Paris, France' END"""
+
+
+@query(f"""WITH q AS (SELECT CAST(c_custkey AS BIGINT) AS id, c_custkey % 5 AS k, {_N} AS n, upper({_NAME}) AS name FROM customer)
+SELECT id, CASE k WHEN 0 THEN name || 'STRASSE ' || n WHEN 1 THEN 'AV ' || name || ' ' || n WHEN 2 THEN n || ' ' || name || ' ST' WHEN 3 THEN n || ' ' || name || ' RD' ELSE n || ' RUE ' || name END AS street1,
+  CASE k WHEN 1 THEN 'INT 4' WHEN 2 THEN 'APT 2' WHEN 3 THEN 'UNIT 4' ELSE '' END AS street2, CASE k WHEN 0 THEN 'BERLIN' WHEN 1 THEN 'PUEBLA' WHEN 2 THEN 'LEEDS' WHEN 3 THEN 'SYDNEY' ELSE 'PARIS' END AS city,
+  CASE k WHEN 1 THEN 'PUE' WHEN 3 THEN 'NSW' ELSE '' END AS state, CASE k WHEN 0 THEN '10115' WHEN 1 THEN '03940' WHEN 2 THEN 'LS6 2AA' WHEN 3 THEN '2000' ELSE '75001' END AS postal_code,
+  CASE k WHEN 0 THEN 'DEU' WHEN 1 THEN 'MEX' WHEN 2 THEN 'GBR' WHEN 3 THEN 'AUS' ELSE 'FRA' END AS country, n AS house_number FROM q""")
+def lines_abroad(spark, d):
+    q = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"), F.expr(_ABROAD).alias("line"))
+    q = q.withColumn("country", grammar.country_at_end(F.col("line")))
+    none = F.lit("")
+    x = q.withColumn("x", grammar.international(F.col("line"), none, none, none, none, F.col("country")))
+    return x.select("id", "x.street1", "x.street2", "x.city", "x.state", "x.postal_code", "country", "x.house_number")
