@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import fixtures as X
 from .functions import cleanup, country, dims, grammar, layout, text, us
 from .operators import entity, evaluation, ledger, lookup, reference, registry, scoring, search
+from .plans import sqlfunctions
 from .plans.standardize import dedupe_apply, split_line, standardized
 from .sources import files
 
@@ -661,3 +662,18 @@ def lines_abroad(spark, d):
     none = F.lit("")
     x = q.withColumn("x", grammar.international(F.col("line"), none, none, none, none, F.col("country")))
     return x.select("id", "x.street1", "x.street2", "x.city", "x.state", "x.postal_code", "country", "x.house_number")
+
+
+@query(SCORED + """SELECT addr_id, CAST(0.99 AS DOUBLE) AS street1, CAST(CASE WHEN street2 = '' THEN 1.0 ELSE 0.85 END AS DOUBLE) AS street2, CAST(0.95 AS DOUBLE) AS city,
+  round(CAST(CASE WHEN state = '' THEN 0.0 WHEN NOT ok_state THEN 0.20 WHEN NOT no_zip AND coalesce(zs, '') <> state THEN 0.35 WHEN raw_state = '' THEN 0.85 ELSE 0.97 END AS DOUBLE) + CASE WHEN zs = state THEN 0.02 ELSE 0 END, 4) AS state,
+  CAST(CASE WHEN postal_code = '' THEN 0.0 WHEN no_zip THEN 0.30 ELSE 0.97 END AS DOUBLE) AS postal_code, CAST(0.60 AS DOUBLE) AS country FROM scored""")
+def field_confidences(spark, d):
+    return scoring.field_confidence(std(spark, d, score=True)).select("addr_id", "field_confidence.*")
+
+
+@query(STD + f"SELECT addr_id, {KEY_SQL} AS key, CASE WHEN zip5 <> '' AND coalesce({_zip3('zip5')}, '') <> state THEN 'UNDELIVERABLE' ELSE 'DELIVERABLE' END AS deliverability, street1 FROM std")
+def sql_functions(spark, d):
+    """The registered SQL functions over the same rows as the plan."""
+    sqlfunctions.register(spark)
+    args = "street1, city, state, postal_code"
+    return X.view(spark, d, X.ADDR).selectExpr("addr_id", f"standardize_address_key({args}) AS key", f"standardize_deliverability({args}) AS deliverability", f"standardize_address({args}).street1 AS street1")

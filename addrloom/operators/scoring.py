@@ -130,3 +130,31 @@ def corporate_risk(df: DataFrame) -> DataFrame:
     """Adds risk: the hub's base score with 0.05 more without a unit, 0.60 for a mail drop, 0.40 for a private residence."""
     base = F.when(F.col("is_hub"), F.coalesce("hub_risk", F.lit(0.85)) + F.when(F.col("street2") == "", 0.05).otherwise(0.0)).when(F.col("cmra"), 0.60).when(F.col("is_private_residence"), 0.40).otherwise(0.0)
     return df.withColumn("risk", F.round(F.least(F.lit(1.0), base), 4))
+
+
+# Starting confidence of a street line by how it was parsed.
+PATH_CONFIDENCE = {"expression": 0.99, "rules": 0.95, "international": 0.90}
+
+
+def field_confidence(df: DataFrame, reference_status: Column | None = None) -> DataFrame:
+    """Adds `field_confidence`, a struct of six heuristic values between 0 and 1, to standardized and scored rows: what was supplied,
+    inferred or split off, how the street was parsed, whether ZIP and state agree, and the status of a reference check."""
+    code = lambda c: F.array_contains("reason_codes", c)
+    lose = lambda cond, x: F.when(cond, F.lit(x)).otherwise(F.lit(0.0))
+    clamp = lambda c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), 4)
+    status = F.coalesce(reference_status if reference_status is not None else F.lit(None).cast("string"), F.lit(""))
+    base = F.lit(0.90)
+    for path, x in PATH_CONFIDENCE.items():
+        base = F.when(F.col("parse_path") == path, x).otherwise(base)
+    street = F.when(F.col("street1") == "", 0.0).when(F.col("is_private_residence"), 0.30).otherwise(base - lose(code("ERR_MISSING_HOUSE_NUM"), 0.35) - lose(code("ERR_UNRESOLVED_SUFFIX"), 0.20))
+    unit = F.when((F.col("street2") == "") & F.array_contains("footnotes", "N1"), 0.50).when(F.col("street2") == "", 1.0).when(F.col("_street2") != "", 0.97).otherwise(0.85)
+    city = F.when(F.col("city") == "", 0.0).otherwise(F.when(status == "confirmed", 0.99).when(status == "place_mismatch", 0.57).otherwise(0.95))
+    mismatch = F.col("is_us") & (F.length("zip5") == 5) & ~zip_agrees(F.col("state"), F.col("zip5"))
+    known = F.when(F.col("state") == "", F.when(F.col("is_us"), 0.0).otherwise(1.0)).when(F.col("is_us") & ~dims.within(dims.STATE_CODES, F.col("state")), 0.20).when(F.col("_state") == "", 0.85).otherwise(0.97)
+    state = F.when(mismatch, F.least(known, F.lit(0.35))).when(F.col("is_us") & zip_agrees(F.col("state"), F.col("zip5")), known + 0.02).otherwise(known)
+    state = F.when(status == "state_mismatch", F.least(state, F.lit(0.30))).otherwise(state)
+    postal = F.when(F.col("postal_code") == "", 0.0).when(F.col("is_us") & (F.col("zip5") == ""), 0.30).otherwise(0.97)
+    postal = F.when(status == "postal_unknown", F.least(postal, F.lit(0.30))).when(status.isin("confirmed", "place_mismatch", "state_mismatch"), postal + 0.03).otherwise(postal)
+    country = F.when(F.col("_country") != "", 0.99).when(F.col("is_us"), 0.60).otherwise(0.70)
+    parts = {"street1": street, "street2": unit, "city": city, "state": state, "postal_code": postal, "country": country}
+    return df.withColumn("field_confidence", F.struct(*[clamp(v).alias(k) for k, v in parts.items()]))

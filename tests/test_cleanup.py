@@ -96,3 +96,22 @@ def test_every_country_has_a_family(spark):
     assert rows["DEU"].family == "germanic" and rows["DEU"].house_number_position == "after_street" and rows["DEU"].postal_position == "before_city"
     assert rows["KEN"].family == "mena_africa" and rows["JPN"].house_number_position == "cjk_hierarchical"
     assert set(G.FAMILY_OF) - set(rows) <= {"ATA", "BVT", "HMD"}
+
+
+def test_sql_functions_of_texts_and_nulls(spark):
+    from addrloom.plans import sqlfunctions
+
+    sqlfunctions.register(spark)
+    r = spark.sql("""SELECT standardize_address_key_text('100 Main Street, Suite 5, Dallas, TX 75201') AS key, standardize_address_key_text(CAST(NULL AS STRING)) AS none, standardize_address_key('', '', '', '') AS empty,
+      standardize_address(CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING)).street1 AS nothing, standardize_deliverability('100 Main St', 'Dallas', 'NY', '75201') AS bad, standardize_deliverability_text('PO Box 5, Dallas, TX 75201') AS box""").first()
+    assert tuple(r) == ("100 MAIN ST|STE 5|DALLAS|TX|75201|USA", None, "", None, "UNDELIVERABLE", "DELIVERABLE")
+
+
+def test_field_confidence_abroad(spark):
+    from addrloom.operators.scoring import field_confidence
+    from addrloom.plans.standardize import standardized
+
+    df = spark.createDataFrame([("15 High Street", "Flat 4", "Leeds", "GBR"), ("", "", "", "")], "street1 string, street2 string, city string, country string")
+    a, b = (r.field_confidence for r in field_confidence(standardized(df)).select("field_confidence").collect())
+    assert tuple(a) == (0.9, 0.97, 0.95, 1.0, 0.0, 0.99)
+    assert tuple(b) == (0.0, 1.0, 0.0, 0.0, 0.0, 0.6)
