@@ -1,6 +1,6 @@
 """The corpus pipeline: stages over the documents table, each written as Parquet and read again by the next.
 
-Toxic documents go, one document of each near-duplicate group stays, documents with benchmark passages go, sources are
+Toxic documents go, one document of each near-duplicate group (5-word shingles, Jaccard 0.8) stays, documents with benchmark passages go, sources are
 mixed to target weights (no document is lost, those of small sources are repeated), and token files are written and read.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from addrloom.llm import decontaminate, mixing, simhash, token_files, toxicity
+from addrloom.llm import decontaminate, mixing, near_copies, token_files, toxicity
 from addrloom.llm.common import materialise, table
 
 
@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(docs, shingle=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ STAGES = [
     ("token_files", write_tokens),
 ]
 
-#: SQL can't express the toxicity model, components of fingerprints or the tokenizer; tests compare with brute force instead.
+#: SQL can't express the toxicity model, components of near copies or the tokenizer; tests compare with brute force instead.
 ORACLE_SQL = None
 
 
