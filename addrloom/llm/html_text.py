@@ -2,14 +2,14 @@
 
 A page is cut into blocks of text (the lines). The markup settles most of them: head, scripts, menus, headers, footers, sidebars,
 adverts, notices, forms and reader comments are no article, and what stands inside `article` or `main` is. For lines
-that the markup leaves open, each page is paired with the nearest page of its host in the order of URL paths (the one
-before it, or for a host's first page the one after), the two line sequences are aligned by their longest common
+that the markup leaves open, each page is paired with the nearest page of its host in the order of URL paths that has other
+lines (the last before it, or where all before it are its copies the first after it; none if all are), the two line sequences are aligned by their longest common
 subsequence, and open lines that both share are deleted. Lines inside an article are never deleted: copies of an
 article on one host would otherwise erase each other.
 
-Pages are dealt by range of (host, path, id); cut keys come from a bounded sample and steer nothing but the dealing. The last
-page before and the first page after each cut travel with both neighbours as ghosts, so pairs are the same however the
-rows are dealt, and a host may hold any part of all rows.
+Pages are dealt by range of (host, path, id); cut keys come from a bounded sample and steer nothing but the dealing. For
+each part the last page before it and the first after it, on the same host and with other lines than the part's end has there,
+travel along as ghosts, so pairs are the same however the rows are dealt, and a host may hold any part of all rows.
 
 Defined cases: null html gives an empty text, null url an empty host and path; pages of one host and path are ordered by
 id and then html; repeated rows are kept; very long pages are read whole, and only hashes of lines are aligned; only id, url and
@@ -25,10 +25,11 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, table
+from .common import materialise, release, table
 from .url_filter import split_url
 
 PAGES_A_PART = 500
@@ -163,6 +164,36 @@ def hash_line(text: str) -> int:
     return zlib.crc32(b) << 32 | zlib.adler32(b)
 
 
+def sequence_hash(lines: list[tuple[str, bool]]) -> int:
+    return xxhash.xxh64_intdigest("\n".join(t for t, _ in lines).encode(errors="replace")) - (1 << 63)
+
+
+def _ghosts(dealt: DataFrame) -> dict[tuple, list[int]]:
+    """For the key of a page the other parts that need it: for each part, the last page before it with other lines than its first page
+    and the first page after it with other lines than its last page, on the host of these."""
+
+    @F.udf("long", useArrow=True)
+    def sequence(html: str) -> int:
+        return sequence_hash(lines_of(html or ""))
+
+    key = F.struct("host", "path", F.coalesce("page_id", F.lit(-1)).alias("p"), "seq")
+    read = materialise(dealt.select("part", "host", "path", "page_id", sequence("html").alias("seq")), "html-sequences")
+    ends = materialise(read.groupBy("part").agg(F.min(key).alias("low"), F.max(key).alias("high")), "html-ends")
+    other = lambda end: F.when((F.col("host") == F.col(f"{end}.host")) & (F.col("seq") != F.col(f"{end}.seq")), key)
+    seconds = read.join(F.broadcast(ends), "part").groupBy("part").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.min(other("low")).alias("low2"), F.max(other("high")).alias("high2"))
+    rows = seconds.orderBy("part").collect()  # a row a part
+    found: dict[tuple, list[int]] = {}
+    for k, row in enumerate(rows):
+        for end, step, names in ((row.low, -1, ("high", "high2")), (row.high, 1, ("low", "low2"))):
+            at, ghost = k + step, None
+            while 0 <= at < len(rows) and rows[at][names[0]].host == end.host and ghost is None:
+                ghost = next((x for n in names if (x := rows[at][n]) is not None and x.seq != end.seq), None)
+                at += step
+            if ghost is not None:
+                found.setdefault(tuple(ghost)[:3], []).append(row.part)
+    return found
+
+
 def _seeds(spark: SparkSession, parts: int) -> list[int]:
     """For each part a number that Spark's hash partitioning sends to a partition of its own."""
     found = spark.range(40 * parts + 200).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p"), F.col("id").cast("int").alias("id"))
@@ -191,19 +222,12 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         return bisect_right(cuts, (host, path, -1 if page is None else page))
 
     dealt = keyed.withColumn("part", part_of("host", "path", "page_id") if cuts else F.lit(0))
-    key = F.struct("host", "path", F.coalesce("page_id", F.lit(-1)).alias("p"))
-    ghosts: dict[tuple, int] = {}
-    if cuts:
-        ends = dealt.groupBy("part").agg(F.min(key).alias("low"), F.max(key).alias("high")).orderBy("part").collect()  # a row a part
-        for a, b in zip(ends, ends[1:]):
-            if a.high.host == b.low.host:
-                ghosts[tuple(a.high)] = b.part
-                ghosts[(*b.low, "back")] = a.part
+    ghosts = _ghosts(dealt) if cuts else {}
 
     @F.udf("array<struct<to:int,seed:int>>", useArrow=True)
     def parts_of(host: str, path: str, page: int, part: int) -> list:
         k = (host, path, -1 if page is None else page)
-        return [(p, seeds[p]) for p in (part, ghosts.get(k), ghosts.get((*k, "back"))) if p is not None]
+        return [(p, seeds[p]) for p in dict.fromkeys((part, *ghosts.get(k, ())))]
 
     dealt = dealt.withColumn("_to", F.explode(parts_of("host", "path", "page_id", "part"))).withColumns({"to": F.col("_to.to"), "seed": F.col("_to.seed")})
     dealt = dealt.withColumn("ghost", F.col("to") != F.col("part"))
@@ -226,28 +250,31 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                 x.clear()
             return batch
 
-        before, first, held = None, None, 0  # before: the page before; first: a host's first page, which waits for the next
+        # rows of equal lines in a row are a run; of a host's first run only what is put out waits for the next
+        at, lines, partner, waiting, held = None, None, None, [], 0
         for batch in batches:
             columns = [batch.column(k) for k in range(6)]
             for k in range(batch.num_rows):
                 to, host, ghost, page, url, html = (c[k].as_py() for c in columns)
                 row = (to, host, ghost, page, url, lines_of(html or ""))
                 held += len(html or "")
-                if before is not None and before[:2] == row[:2]:
-                    if first is not None:
-                        put(first, row[5])
-                        first = None
-                    put(row, before[5])
+                if at != row[:2]:
+                    for x in waiting:
+                        put(x, None)
+                    at, lines, partner, waiting = row[:2], row[5], None, []
+                elif [t for t, _ in lines] != [t for t, _ in row[5]]:
+                    for x in waiting:
+                        put(x, row[5])
+                    partner, lines, waiting = lines, row[5], []
+                if partner is None:
+                    waiting.append((*row[:5], lines if row[5] == lines else row[5]))
                 else:
-                    if first is not None:
-                        put(first, None)
-                    first = row
-                before = row
+                    put(row, partner)
                 if held > 4 << 20:
                     yield out()
                     held = 0
-        if first is not None:
-            put(first, None)
+        for x in waiting:
+            put(x, None)
         yield out()
         release()
 
