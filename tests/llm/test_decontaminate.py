@@ -83,3 +83,52 @@ def test_empty_tables(spark):
     check(spark, none, items)
     check(spark, docs, none)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def brute_longest(text, items):
+    """(words, start, item) of the longest common run of a window or a whole short item; then the first place, then the least id."""
+    w, best = words(text), (0, None, None)
+    for i, t in items:
+        v, before, i = words(t), [], "" if i is None else str(i)
+        before = [0] * (len(v) + 1)
+        for a in range(len(w)):
+            now = [0] * (len(v) + 1)
+            for b in range(len(v)):
+                if w[a] == v[b]:
+                    n = now[b + 1] = before[b] + 1
+                    if (n >= 10 or len(v) < 10 and n == len(v)) and (best[1] is None or (-n, a - n + 1, i) < (-best[0], best[1], best[2])):
+                        best = (n, a - n + 1, i)
+            before = now
+    return best
+
+
+def test_longest_matches_and_ties(spark):
+    docs, items = made()
+    rng = random.Random(8)
+    long = " ".join(f"w{i}" for i in range(400))
+    items += [(91, long), (90, long), (92, "aa " * 30)]
+    docs += [(600, "lead " * 60 + " ".join(long.split()[100:]) + " tail"), (601, long), (602, "aa " * 200), (603, f"{long[:900]} {long}")]
+    docs += [(700 + k, " ".join(rng.choice(long.split()[:3]) for _ in range(30)) + " " + " ".join(long.split()[k : k + 9 + k])) for k in range(20)]
+    for more in ({}, {"piece": 150, "block": 60}):
+        got = check(spark, docs, items, **more)
+        for d, t in docs:
+            assert (got[d].longest_words, got[d].longest_start, got[d].longest_item) == brute_longest(t, items), d
+
+
+def test_one_word_said_a_million_times(spark):
+    docs = [(1, "a " * 2_100_000), (2, "b"), (3, "a, A! " * 20)]
+    got = check_counts(spark, docs, [("x", "a " * 1000), ("y", "a a"), ("z", "b c")])
+    assert got == {1: (2_100_000, 2_100_000, ["x", "y"], 1000), 2: (1, 0, [], 0), 3: (40, 40, ["x", "y"], 40)}
+
+
+def check_counts(spark, docs, items):
+    rows = D.judge(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()
+    return {r.doc_id: (r.n_words, r.n_hit, r["items"], r.longest_words) for r in rows}
+
+
+def test_items_with_one_template(spark):
+    template = " ".join(f"t{k}" for k in range(40))
+    items = [(f"i{k:05d}", f"{template} question {k}") for k in range(3000)]
+    docs = [(d, f"{template} doc {d}") for d in range(200)]
+    got = check_counts(spark, docs, items)
+    assert all(x == (42, 40, [i for i, _ in items], 40) for x in got.values())
