@@ -13,10 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and Spark runs on one machine (tests) a
+    fresh local one. On a cluster it must be set."""
     conf = spark.sparkContext.getConf()
     root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='addrloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -31,13 +34,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a table or folder of the shared folder by Hadoop's file system."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+def discard(df: DataFrame) -> None:
+    """Deletes a table that `materialise` has written, once nothing reads it any more."""
+    hadoop_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    hadoop_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def release() -> None:

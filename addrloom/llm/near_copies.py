@@ -1,8 +1,11 @@
-"""Near copies by the Jaccard similarity of word shingles.
+"""SimHash near-duplicates by a similarity: the general form of `simhash`, for links of a Jaccard similarity of 0.8 or more.
 
-Two texts are near copies if their sets of shingles (five words) have a Jaccard similarity of 0.8 at least. Candidates meet in
-MinHash bands: 40 keys a text, each over 5 minima, so that a pair of similarity 0.8 misses all of them with a chance of
-1.3e-7, and more similar pairs with less. Every candidate that links is checked on the whole sets.
+Two texts are near copies if their sets of shingles (five words) have a Jaccard similarity of 0.8 at least. Golay keys of their
+fingerprints (see `simhash`) bring together texts whose fingerprints differ in two bits at most. At a similarity of 0.8,
+however, fingerprints of 64 bits differ in 9.7 bits on average, and Golay keys wide enough for that meet by chance far too
+often to be of use on many texts (README has the figures). MinHash bands of the same shingles therefore bring together the rest: 24 keys a
+text, each over 4 minima, so that a pair of similarity 0.8 misses all of them with a chance of 3.2e-6, and more similar pairs with
+less. Every candidate of either kind that links is checked on the whole sets.
 
 Texts with equal words are one node first. In each key all nodes are checked against a hub; where that leaves several
 components in a key, the nodes outside its largest are checked against all nodes of other components in it. What the
@@ -23,20 +26,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, release
-from .simhash import SEED, components
+from .simhash import SEED, components, majority
+from .simhash import links as golay_links
 
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 40, 5
+SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 HUB_ORDERS = 4
 
 
-def shingle_set(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
-    """The different shingles' hashes, sorted."""
+def shingle_hashes(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of all shingles, repeats included."""
     from xxhash import xxh64_intdigest
 
     if not words:
         return np.empty(0, np.uint64)
     grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else iter([b" ".join(words)])
-    return np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64))
+    return np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64)
+
+
+def shingle_set(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """The different shingles' hashes, sorted."""
+    return np.unique(shingle_hashes(words, shingle))
 
 
 def node_of(words: list[bytes]) -> int:
@@ -69,30 +78,38 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _prints(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """doc_id, node, n (shingles) and keys for each row."""
+    """doc_id, node, fp (the fingerprint), n (shingles) and keys for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, prints, sizes, keys = [], [], [], []
             for x in b.column(1).cast(pa.large_binary()):
                 words = (x.as_py() or b"").lower().split()
-                found = shingle_set(words, shingle)
+                hashes = shingle_hashes(words, shingle)
+                found = np.unique(hashes)
                 nodes.append(node_of(words))
+                prints.append(majority(hashes))
                 sizes.append(len(found))
                 keys.append(band_keys(found))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "keys"])
+            fps = pa.array(np.array(prints, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), fps, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "n", "keys"])
         release()
 
-    return _rows(docs, doc_id, text).mapInArrow(run, "doc_id long, node long, n long, keys array<long>")
+    return _rows(docs, doc_id, text).mapInArrow(run, "doc_id long, node long, fp long, n long, keys array<long>")
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, shingle: int, wanted: DataFrame) -> DataFrame:
     """node and its set as bytes for each node of wanted (node, rep)."""
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # an id may hold a text many times: a task sends it once
         for b in batches:
             nodes = [node_of((x.as_py() or b"").lower().split()) for x in b.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64())], names=["doc_id", "text", "node"])
+            new = []
+            for pair in zip(b.column(0).to_pylist(), nodes):
+                new.append(pair not in seen)
+                seen.add(pair)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64())], names=["doc_id", "text", "node"]).filter(pa.array(new, pa.bool_()))
         release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,11 +118,20 @@ def _sets(docs: DataFrame, doc_id: str, text: str, shingle: int, wanted: DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
         release()
 
-    rows = _rows(docs, doc_id, text)
-    rows = rows.mapInArrow(named, "doc_id long, text string, node long")
+    rows = _rows(docs, doc_id, text).mapInArrow(named, "doc_id long, text string, node long")
     one = rows.join(wanted.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    sets = materialise(one.select("node", "text").mapInArrow(run, "node long, shingles binary"), "near-rows")
-    return materialise(sets.dropDuplicates(["node"]), "near-sets")  # an id may hold a text twice
+    return materialise(one.dropDuplicates(["node", "rep"]).select("node", "text").mapInArrow(run, "node long, shingles binary"), "near-sets")
+
+
+def _golay_pairs(distinct: DataFrame) -> DataFrame:
+    """Pairs of nodes (node, n, _node, _n) whose fingerprints are equal or linked by Golay keys. Nodes of one fingerprint are paired with the
+    least of them, and linked fingerprints by their least nodes."""
+    least = F.min(F.struct("node", "n")).alias("low")
+    prints = materialise(distinct.groupBy("fp").agg(least, F.count("*").alias("m")).select("fp", F.col("low.node").alias("_node"), F.col("low.n").alias("_n"), "m"), "near-fps")
+    equal = distinct.join(prints.where("m > 1"), "fp").where("node <> _node").select("node", "n", "_node", "_n")
+    side = lambda c, node, n: prints.select(F.col("fp").alias(c), F.col("_node").alias(node), F.col("_n").alias(n))
+    linked = golay_links(prints.select("fp")).join(side("a", "node", "n"), "a").join(side("b", "_node", "_n"), "b")
+    return equal.unionByName(linked.select("node", "n", "_node", "_n"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -121,9 +147,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) that connect what all similar pairs of a key would connect. members: a written table of different
-    (key, node, n)."""
+def links(members: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Verified links (a, b) that connect what all similar pairs of a key, and the given pairs (node, n, _node, _n), would connect.
+    members: a written table of different (key, node, n)."""
 
     def ordered(pairs: DataFrame) -> DataFrame:
         near = F.least("n", "_n") >= F.greatest("n", "_n") * (similarity - 1e-9)  # less similar by their sizes alone
@@ -131,7 +157,8 @@ def links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
 
     order = F.struct(F.xxhash64(F.pmod("key", F.lit(HUB_ORDERS)), "node").alias("o"), F.col("node"), F.col("n"))
     hubs = members.groupBy("key").agg(F.min(order).alias("hub")).select("key", F.col("hub.node").alias("_node"), F.col("hub.n").alias("_n"))
-    tried = materialise(ordered(members.join(hubs, "key").where("node <> _node")), "near-pairs")
+    met = members.join(hubs, "key").where("node <> _node").select("node", "n", "_node", "_n")
+    tried = materialise(ordered(met.unionByName(pairs)), "near-pairs")
     first = materialise(_verified(tried, sets, similarity), "near-links")
 
     comp = materialise(components(first, "near-steps"), "near-components")
@@ -149,22 +176,16 @@ def links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id for each row."""
     prints = materialise(_prints(docs, doc_id, text, shingle), "near-prints")
-    distinct = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "near-distinct")
+    distinct = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "near-distinct")
     keyed = distinct.select("node", "n", F.explode("keys").alias("key"))
     shared = materialise(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key"), "near-keys")
     members = materialise(keyed.join(shared, "key").select("key", "node", "n"), "near-members")
-    wanted = distinct.join(members.select("node").distinct(), "node").select("node", "rep")
+    pairs = materialise(_golay_pairs(distinct), "near-golay")
+    candidates = members.select("node").unionByName(pairs.select("node")).unionByName(pairs.select(F.col("_node").alias("node"))).distinct()
+    wanted = materialise(distinct.select("node", "rep").join(candidates, "node"), "near-wanted")
     sets = _sets(docs, doc_id, text, shingle, wanted)
-    comp = materialise(components(links(members, sets, similarity), "near-steps"), "near-components")
+    comp = materialise(components(links(members, pairs, sets, similarity), "near-steps"), "near-components")
     named = comp.join(distinct.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component_id"))
     changed = comp.join(named, "root").select("node", "component_id")
     reps = distinct.select("node", "rep").join(changed, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
     return prints.select("doc_id", "node").join(materialise(reps, "near-reps"), "node").select("doc_id", "component_id")
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, with their own columns, less the documents whose component has one of a lesser id. Rows of one id are one
-    document."""
-    found = groups(docs, doc_id, text, shingle, similarity)
-    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(materialise(lost, "near-lost"), F.col(doc_id) == F.col("_lost"), "left_anti")

@@ -28,28 +28,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, release, table
+from .common import discard, materialise, release, table
 
 SEED, SHINGLE, DISTANCE, MOST = 42, 3, 2, 1024
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED, block: int = 1 << 15) -> int:
+def majority(hashes: np.ndarray, block: int = 1 << 15) -> int:
+    """The bits that are set in over half of some hashes."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), block):
+        part = hashes[a : a + block]
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Bytes split and lower-case as ASCII does: blanks are space and \\t to \\r, and only A-Z change."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     if not words:
         return 0
-    n = max(1, len(words) - shingle + 1)
     grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else iter([b" ".join(words)])
-    ones = np.zeros(64, np.int64)
-    for a in range(0, n, block):
-        size = min(block, n - a)
-        h = np.fromiter((xxh64_intdigest(g, seed) for _, g in zip(range(size), grams)), np.uint64, size)
-        ones += np.unpackbits(h.view(np.uint8).reshape(size, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter((xxh64_intdigest(g, seed) for g in grams), np.uint64))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,17 +179,21 @@ def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for every node of the edges (a, b), root the least node reachable: alternating large-star and small-star until
-    nothing changes."""
+    nothing changes. Least neighbours are written before they are joined, so that AQE can split a node with very many edges; tables of
+    past rounds are deleted."""
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{label}-low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        large = materialise(large, f"{label}-large")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), f"{label}-least")
+        joined = large.join(least, "u")
         small = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = materialise(small, label)
+        past, edges = edges, materialise(small, label)
+        for table_ in (past, low, large, least):
+            discard(table_)
         now = edges.agg(F.count("*").alias("n"), F.countDistinct("u").alias("d"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if mark == now and now.n == now.d:
             break
@@ -207,10 +214,15 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return prints.join(reps, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of docs, with their own columns, less the documents whose component has one of a lesser id. Rows of one id are one
-    document."""
-    found = groups(docs, doc_id, text)
+    document. With a similarity, links are those of `near_copies`, else fingerprints of three-word shingles within two bits."""
+    if similarity is None:
+        found = groups(docs, doc_id, text)
+    else:
+        from . import near_copies
+
+        found = near_copies.groups(docs, doc_id, text, shingle, similarity)
     lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
     return docs.join(materialise(lost, "simhash-lost"), F.col(doc_id) == F.col("_lost"), "left_anti")
 

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from addrloom.llm import toxicity as T
 from tests.llm.test_decontaminate import brute
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_near_copies import brute as brute_near_copies
 
 D = "/root/testdata/sf0.001"
 
@@ -24,7 +24,7 @@ def test_stages_against_brute_force(spark):
         if k == 0:
             want = [d for (d, r), s in zip(rows.items(), model.scores(r.text.encode() for r in rows.values())) if round(s, 9) < 0.7]
         elif k == 1:
-            comp = brute_components([(d, brute_fingerprint(r.text)) for d, r in rows.items()])
+            comp = brute_near_copies([(d, r.text) for d, r in rows.items()])
             want = [d for d in rows if comp[d] == d]
         elif k == 2:
             hit = brute([(d, r.text) for d, r in rows.items()], items)
