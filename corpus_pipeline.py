@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from addrloom.llm import decontaminate, mixing, near_copies, token_files, toxicity
+from addrloom.llm import decontaminate, mixing, simhash, token_files, toxicity
 from addrloom.llm.common import materialise, table
 
 
@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.one_of_each(docs, shingle=5, similarity=0.8)
+    return simhash.one_of_each(docs, shingle=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
