@@ -4,8 +4,8 @@ Base spans (email, ip, card, phone) come from fixed patterns and always stay. Be
 proposed widely, and six labelers vote on each: two regular expressions (strict shape, whole token), two gazetteers
 (words that announce a kind, words that deny it) and two of context (assignment or quotes before it, mixed characters).
 Votes are counted by pattern over all documents, at most 3^6 rows a kind. Expectation-maximisation estimates each
-labeler's reliability from the counts, and its soft labels train a logistic span classifier whose verdict for a vote
-pattern decides whether a candidate becomes a span.
+labeler's reliability from the counts, and its soft labels train a logistic span classifier. Its verdict on a kind and a vote
+pattern alone decides whether a candidate becomes a span: no labeler can veto or force one. Every pattern is scanned in linear time.
 
 One scan reads the texts and leaves offsets only; nothing of a text is shuffled. Offsets are code points.
 
@@ -16,6 +16,7 @@ a candidate that overlaps a base span is dropped; only the id and the text are r
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ KINDS = (*BASE, "account", "national_id", "secret", "written_email")
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")  # a match starts where digits do, so each run is read a few times
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -75,17 +76,36 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 #: What proposes candidates, cheap test first: kind, characters one of which must occur, pattern (group 1 is the span), strict shape.
+#: The patterns ask for little more than the kind's characters; the votes decide.
 PROPOSALS = (
-    ("secret", "=:", re.compile(r"[=:][\x20]?[\"']?([A-Za-z0-9_/+-]{16,})"), re.compile(r"([0-9a-f]{16,}|[0-9A-F]{16,}|(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_/+-]{20,})")),
+    ("secret", "=:", re.compile(r"[=:][\x20]?[\"']?([A-Za-z0-9_/+-]{12,})"), re.compile(r"([0-9a-f]{16,}|[0-9A-F]{16,}|(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_/+-]{16,})")),
     ("national_id", "-", re.compile(r"(?<![0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"), re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}")),
-    ("account", "0123456789", re.compile(r"\b([A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})\b"), re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]*[0-9]{6}[A-Z0-9]*")),
+    ("account", "0123456789", re.compile(r"\b([A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?)\b"), re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9\x20]*[0-9]{4}\x20?[0-9]{2}[A-Z0-9\x20]*")),
     ("phone", "(", re.compile(r"(?<![0-9+ ])[\x20]?(\([0-9]{2,5}\)[\x20]?[0-9][0-9 -]{4,10}[0-9])"), re.compile(r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}")),
-    ("written_email", "([", re.compile(r"([A-Za-z0-9._-]+[\x20]?[\[(]at[\])][\x20]?[A-Za-z0-9-]+(?:[\x20]?[\[(.](?:dot)?[\])]?[\x20]?[A-Za-z0-9-]+)+)"), re.compile(r".+[\[(]at[\])].+[\[(.].+")),
+    ("phone", "-. ", re.compile(r"(?<![0-9A-Za-z+().-])([0-9]{3}[-.][0-9]{3}[-.][0-9]{4})(?![0-9-])"), re.compile(r"[2-9][0-9]{2}([-.])[2-9][0-9]{2}\1[0-9]{4}")),
 )
+AT = re.compile(r"[\x20]?(?:[\[(](?:at|AT)[\])]|\{at\})[\x20]?")
+WRITTEN_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:[\x20]?(?:[\[({](?:dot|DOT)[\])}]|\.)[\x20]?[A-Za-z0-9-]++)+")
+WRITTEN = re.compile(r".+[\[({](?:at|AT)[\])}].+(?:[\[({](?:dot|DOT)[\])}]|\.).+")
+WRITTEN_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._-")
+
+
+def written_emails(text: str) -> Iterator[tuple[int, int]]:
+    """Spans like `name [at] host [dot] org`, found from each bracketed at."""
+    free = 0
+    for m in AT.finditer(text):
+        s = m.start()
+        while s > free and text[s - 1] in WRITTEN_LOCAL:
+            s -= 1
+        if s < m.start() and (d := WRITTEN_DOMAIN.match(text, m.end())):
+            yield s, d.end()
+            free = d.end()
+
+
 #: Gazetteer of words that announce a kind, and of words that deny one.
 ANNOUNCE = {
     "secret": ("token", "secret", "password", "passwd", "api", "key", "auth", "bearer"), "national_id": ("ssn", "social", "security", "id"),
-    "account": ("iban", "account", "konto", "compte", "cuenta", "bank"), "phone": ("phone", "tel", "call", "fax", "mobile"), "written_email": ("mail", "email", "contact", "write"),
+    "account": ("iban", "account", "konto", "compte", "cuenta", "bank"), "phone": ("phone", "tel", "call", "fax", "mobile"), "written_email": ("mail", "email", "contact", "write", "at"),
 }
 DENY = ("example", "sample", "version", "sha", "commit", "http", "https", "isbn", "checksum")
 LABELERS = ("shape", "whole_token", "announced", "denied", "assigned", "mixed")
@@ -108,14 +128,30 @@ def votes(text: str, kind: str, a: int, b: int, shape: re.Pattern) -> str:
     ))
 
 
-def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
-    out = []
+def proposed(text: str) -> Iterator[tuple[str, int, int, re.Pattern]]:
     for kind, chars, pattern, shape in PROPOSALS:
         if any(c in text for c in chars):
             for m in pattern.finditer(text):
-                a, b = m.span(1)
-                if not any(a < y and x < b for _, x, y in taken):
-                    out.append((kind, a, b, votes(text, kind, a, b, shape)))
+                yield kind, *m.span(1), shape
+    if "(" in text or "[" in text or "{" in text:
+        for a, b in written_emails(text):
+            yield "written_email", a, b, WRITTEN
+
+
+def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
+    """Proposed spans that overlap no base span, with their votes. The base spans are merged and searched by their starts."""
+    starts, ends = [], []
+    for _, a, b in sorted(taken, key=lambda s: s[1:]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    out = []
+    for kind, a, b, shape in proposed(text):
+        k = bisect_right(ends, a)  # the first base span that ends behind a
+        if k == len(starts) or starts[k] >= b:
+            out.append((kind, a, b, votes(text, kind, a, b, shape)))
     return out
 
 
@@ -189,7 +225,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: flo
     scanned = materialise(scan(docs, doc_id, text), "pii-scan")
     counted = scanned.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes").count().orderBy("kind", "votes")
     chances = train_classifier([tuple(r) for r in counted.collect()])  # bounded: kinds times vote patterns
-    good = [f"{k} {v}" for (k, v), p in chances.items() if p >= least and v[0] == "+"]
+    good = [f"{k} {v}" for (k, v), p in chances.items() if p >= least]
     chosen = F.filter("candidates", lambda c: F.concat_ws(" ", c["kind"], c["votes"]).isin(good)) if good else F.filter("candidates", lambda c: F.lit(False))
     added = F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["a"].alias("a"), c["b"].alias("b")))
     return scanned.select("doc_id", _sorted(F.col("base")).alias("base"), _sorted(added).alias("added"), _sorted(F.concat("base", added)).alias("all"))

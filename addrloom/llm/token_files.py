@@ -232,6 +232,9 @@ class ShardReader:
             k = last
 
 
+LONGEST_SAMPLE = 64 << 10  # bytes of a document that may train the dictionary, which changes sizes only
+
+
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", dictionary_docs: int = 500, level: int = 3) -> tuple[DataFrame, str]:
     """Writes the shards and returns their manifest (shard, uri, n_docs, n_tokens, dictionary) and the folder."""
     spark = docs.sparkSession
@@ -239,7 +242,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | N
     width = max(id_width(tokenizer_path), 4 if end_id >= 1 << 16 else 2)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     share = min(1.0, dictionary_docs / max(1, rows.count()))  # a hash of the id picks about so many rows; no task sends more than its own
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) <= int(share * (1 << 40))).select("text").limit(4 * dictionary_docs).collect()
+    picked = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) <= int(share * (1 << 40))) & (F.octet_length("text") <= LONGEST_SAMPLE)
+    sample = rows.where(picked).select("text").limit(4 * dictionary_docs).collect()
     end = np.array([end_id], f"<u{width}").tobytes()
     data = train_dictionary([x + end for x in encoder(tokenizer_path, width).encode([(r.text or "").encode() for r in sample])])
     digest = hashlib.sha256(data).hexdigest()
@@ -283,7 +287,9 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | N
             yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int64()), "uri": [uri], "n_docs": pa.array([len(sizes)], pa.int64()), "n_tokens": pa.array([sum(counts)], pa.int64()), "dictionary": [digest]})
         release()
 
-    ordered = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
+    # Rows with the same id and text are interchangeable; their number lets many of them fall into several ranges.
+    keyed = rows.withColumns({"_h": F.xxhash64("text"), "_k": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange("doc_id", "_h", "_k").sortWithinPartitions("doc_id", "_h", "_k").select("doc_id", "text")
     manifest = ordered.mapInArrow(shard, "shard long, uri string, n_docs long, n_tokens long, dictionary string")
     return materialise(manifest, "manifest"), folder
 
