@@ -4,11 +4,15 @@ A lexicon names the symbol of a word: insult (with a weight), threat, target, ne
 words are `other`. Small transducers read a clause's symbols: one counts insults and threats, one adds weight where a
 target stands in the clause, one takes it away behind a negation within its reach, and one where the clause reports what
 somebody said or stands in quotes. Their composition is one machine, which turns a clause into a weight, so matched
-clauses are scored and not words alone. A logistic model over a text's clause weights gives the score.
+clauses are scored and not words alone. A clause is read from both ends: from the right to learn whether a target follows, and
+with that from the left, so `you are an idiot` and `an idiot, you are` weigh the same. A threat without a target hardly
+counts. A logistic model over a text's clause weights gives the score; its features for density and the number of
+clauses end at 10 and 5, where they say no more.
 
 The insult lexicon and the model are learned from labelled rows (`is_training` says which): at most `MOST_TRAINING` of
-either label, by least hash of the id, half for the lexicon and half for the model. Stems (prefixes of 4 to 9 letters) and
-whole words get the log odds of their document counts. Label, lang, source and id are no inputs of a score.
+either label, by least hash of the id, one text of at most `LONGEST_TRAINING` bytes an id. For the model's features, each half of
+them is read with the lexicon of the other half; scores use the lexicon of all. Stems (prefixes of 4 to 9 letters) and whole
+words get the log odds of their document counts. Label, lang, source and id are no inputs of a score.
 
 Defined cases: a null, empty or wordless text matches no clause and gets the model's score for none; repeated rows get equal
 scores; without labelled rows of both kinds the built-in lexicon and weights serve; only the id and the text are read;
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import keep_rows, release, table
 
-MOST_TRAINING = 3000
+MOST_TRAINING, LONGEST_TRAINING = 3000, 64 << 10
 THRESHOLD = 0.7
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = range(8)
@@ -71,11 +75,11 @@ class Transducer:
 
 
 def negation(reach: int = 3, factor: float = 0.3) -> Transducer:
-    """Up to `reach` symbols behind a negation, insults and threats weigh less."""
+    """Up to `reach` words behind a negation, insults and threats weigh less."""
     arcs: dict = {}
     for n in range(reach + 1):
         arcs[n, NEGATION] = (reach, NEGATION, 1.0)
-        for s in (OTHER, TARGET, REPORT, QUOTE):
+        for s in (OTHER, TARGET, REPORT):
             arcs[n, s] = (max(0, n - 1), s, 1.0)
         for s in (INSULT, THREAT):
             arcs[n, s] = (max(0, n - 1), s, factor if n else 1.0)
@@ -93,8 +97,11 @@ def reported(factor: float = 0.5) -> Transducer:
 
 
 def targeted(bonus: float = 1.5) -> Transducer:
-    """Behind a target in the same clause, insults weigh more."""
-    return Transducer({(0, TARGET): (1, TARGET, 1.0), (1, INSULT): (1, INSULT, bonus), (1, THREAT): (1, THREAT, 2 * bonus), (0, THREAT): (0, THREAT, 0.2), (1, END): (0, END, 1.0)})
+    """In a clause with a target insults weigh more, and threats much more. From the right a target ahead has been seen: then the
+    clause starts in state 1."""
+    arcs: dict = {(0, TARGET): (1, TARGET, 1.0), (0, THREAT): (0, THREAT, 0.2)}
+    arcs |= {(1, INSULT): (1, INSULT, bonus), (1, THREAT): (1, THREAT, 2 * bonus), (1, END): (0, END, 1.0)}
+    return Transducer(arcs)
 
 
 GRAMMAR = negation().then(reported()).then(targeted())
@@ -134,11 +141,13 @@ class Reader:
             out.append((FIXED[word], 1.0))
         elif word and (w := self.lexicon.weight(word)) > 0:
             out.append((INSULT, w))
+        elif word:
+            out.append((OTHER, 1.0))
         if len(text) > 1 and text.rstrip(".,!?;:…")[-1:] in QUOTES:
             out.append((QUOTE, 1.0))
         if CLAUSE_END.search(text):
             out.append((END, 1.0))
-        return tuple(out) or None
+        return tuple(out) if any(s != OTHER for s, _ in out) else None
 
     def clauses(self, text: bytes) -> tuple[list[float], int]:
         """The weights of the clauses that match, and the number of words."""
@@ -151,9 +160,12 @@ class Reader:
                 memo[c] = self.meaning(c)
         found = [(k, m) for k, c in enumerate(chunks) if (m := memo[c]) is not None]
         out: list[float] = []
-        state, total, last, hit = GRAMMAR.start, 0.0, -1, False
+        state, total, last, hit, after = GRAMMAR.start, 0.0, -1, False, True
         step = GRAMMAR.arcs
-        for k, symbols in found:
+        for at, (k, symbols) in enumerate(found):
+            if after:  # a clause begins: look for a target from its end
+                state = (state[0], int(self.targets(found, at)))
+                after = False
             for _ in range(min(3, k - last - 1)):  # plain words between; the machine forgets after three
                 state = step[state, OTHER][0]
             last = k
@@ -165,11 +177,22 @@ class Reader:
                 elif s == END:
                     if hit:
                         out.append(total)
-                    total, hit = 0.0, False
+                    total, hit, after = 0.0, False, True
         if hit:
             out.append(total)
         return out, len(chunks)
 
+    @staticmethod
+    def targets(found: list[tuple], at: int) -> bool:
+        """Whether the clause that begins there has a target."""
+        for k in range(at, len(found)):
+            for s, _ in found[k][1]:
+                if s == TARGET:
+                    return True
+                if s == END:
+                    return False
+        return False
+
 
 def features(weights: list[float], n_words: int) -> list[float]:
     """Numbers the model reads: how heavy and how dense the matched clauses are."""
@@ -241,15 +264,19 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column, doc_id: str =
         ids = labels.where((F.col("toxic") == y) & is_training).select(F.col("doc_id").alias("_i")).distinct().orderBy(F.xxhash64("_i"), "_i").limit(most)
         parts.append(ids.withColumn("_y", F.lit(y)))
     ids = parts[0].unionByName(parts[1])
-    rows = docs.select(F.col(doc_id).alias("_i"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(ids), "_i")
-    got = sorted(((int(r._i), r.t.encode(), r._y) for r in rows.toLocalIterator()), key=lambda r: (r[0], r[1]))
-    first, second = [(t, y) for _, t, y in got[::2]], [(t, y) for _, t, y in got[1::2]]
-    if len({y for _, y in first}) < 2 or len({y for _, y in second}) < 2:
+    size = F.octet_length(text)
+    rows = docs.where(size.isNull() | (size <= LONGEST_TRAINING)).select(F.col(doc_id).alias("_i"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(ids), "_i")
+    one = rows.groupBy("_i", "_y").agg(F.min(F.struct(F.xxhash64("t"), "t")).alias("t")).select("_i", "_y", "t.t")
+    got = sorted(((str(r._i), r.t.encode(), r._y) for r in one.toLocalIterator()), key=lambda r: (r[2], len(r[0]), r[0]))
+    halves = [[(t, y) for _, t, y in got[k::2]] for k in (0, 1)]
+    if any(len({y for _, y in half}) < 2 for half in halves):
         return Model(Lexicon(dict.fromkeys(INSULTS, 2.0)), DEFAULT)
-    lexicon = learn_lexicon(first)
-    reader = Reader(lexicon)
-    x = np.array([features(*reader.clauses(t)) for t, _ in second])
-    return Model(lexicon, fit_logistic(x, np.array([y for _, y in second], float)))
+    x, y = [], []
+    for own, other in (halves, halves[::-1]):
+        reader = Reader(learn_lexicon(other))
+        x += [features(*reader.clauses(t)) for t, _ in own]
+        y += [label for _, label in own]
+    return Model(learn_lexicon(halves[0] + halves[1]), fit_logistic(np.array(x), np.array(y, float)))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -36,8 +36,10 @@ def test_grammar_weighs_clauses():
     assert w('she said: idiot') == [2.0]  # the colon ends the clause
     assert w("she said he was an idiot.") == [1.0]
     assert w('"idiot" he') == [1.0]
-    assert w("i will kill you. nothing") == [pytest.approx(0.2)]
-    assert w("you i kill") == [3.0]
+    assert w("i will kill you. nothing") == w("you i kill") == [3.0]
+    assert w("i will kill the lights. you") == [pytest.approx(0.2)]
+    assert w("an idiot, you are. yes") == [3.0]
+    assert w('"you idiot" i will kill you') == [1.5 + 3.0]
     assert w("never is this one here an idiot") == [2.0]  # out of the negation's reach
 
 
@@ -47,10 +49,68 @@ def test_toxicity_on_held_out_labels(spark):
     rows = scored.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
     hit = Counter((r.toxic, r.predicted) for r in rows)
     assert hit[1, 1] / (hit[1, 1] + hit[0, 1]) > 0.97
-    assert hit[1, 1] / (hit[1, 1] + hit[1, 0]) > 0.75
+    assert hit[1, 1] / (hit[1, 1] + hit[1, 0]) >= 0.9
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
 
 
+def brute_weights(text, insults):
+    """Clause weights without transducers: each insult or threat by the words of its clause."""
+    out, quoted, clause = [], False, []
+    chunks = text.split()
+
+    def close():
+        total, hit = 0.0, False
+        target = any(c in T.TARGETS for c, _ in clause)
+        for k, (c, inside) in enumerate(clause):
+            if c in insults or c in T.THREATS:
+                w = (2.0 * (1.5 if target else 1.0)) if c in insults else (3.0 if target else 0.2)
+                negated = any(x in T.NEGATIONS for x, _ in clause[max(0, k - 3) : k])
+                said = any(x in T.REPORTS for x, _ in clause[:k])
+                total, hit = total + w * (0.3 if negated else 1.0) * (0.5 if said or inside else 1.0), True
+        if hit:
+            out.append(total)
+        clause.clear()
+
+    for chunk in chunks:
+        if chunk.startswith('"'):
+            quoted = not quoted
+        clause.append((chunk.strip('".'), quoted))
+        if len(chunk) > 1 and chunk.rstrip(".").endswith('"'):
+            quoted = not quoted
+        if chunk.rstrip('"').endswith("."):
+            close()
+    close()
+    return out
+
+
+def test_grammar_against_brute_force():
+    rng = random.Random(12)
+    words = ["idiot", "moron", "kill", "you", "not", "said", "plain", "word", "other", "green"]
+    r = T.Reader(T.Lexicon({"idiot": 2.0, "moron": 2.0}))
+    for _ in range(3000):
+        chunks, quoted = [], False
+        for _ in range(rng.randrange(1, 25)):
+            c = rng.choice(words)
+            if not quoted and "said" not in chunks and rng.random() < 0.1:
+                c, quoted = '"' + c, True
+            elif quoted and rng.random() < 0.3:
+                c, quoted = c + '"', False
+            chunks.append(c + ("." if rng.random() < 0.15 else ""))
+        text = " ".join(chunks)
+        if '"' in text and "said" in text:
+            continue  # how quotes and verbs of saying meet is the composition's own business
+        assert r.clauses(text.encode())[0] == pytest.approx(brute_weights(text, ("idiot", "moron"))), text
+
+
+def test_training_reads_one_bounded_text_an_id(spark):
+    docs = [(1, "you idiot") for _ in range(500)] + [(2, "idiot " * 100_000)] + [(k, "you idiot fool" if k % 2 else "a good day") for k in range(3, 60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 60)], "doc_id long, toxic int")
+    m = T.train(spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, toxic int"), labels, F.lit(True))
+    assert list(m.scores([b"you idiot fool"]))[0] > 0.7 > 0.3 > list(m.scores([b"a good day"]))[0]
+    ids = spark.createDataFrame([("a-1", "x")], "doc_id string, text string")
+    assert T.train(ids, spark.createDataFrame([("a-1", 1)], "doc_id string, toxic int"), F.lit(True)).lexicon.words
+
+
 def test_toxicity_odd_rows(spark):
     m = T.Model(T.Lexicon({"idiot": 2.0}), T.DEFAULT)
     got = T.score(texts(spark, ODD), m).collect()
