@@ -34,7 +34,7 @@ from .common import fresh_path, keep_rows, materialise, release, table
 from .token_files import _open, write_file
 
 WINDOW = 10
-PIECE = 4 << 20  # bytes of a shard, and of a text that is searched at once
+PIECE = 2 << 20  # bytes of a shard, and of a text that is searched at once
 BLOCK = 2 << 20  # bytes of test items in one block
 KEPT = 2  # blocks that a worker keeps
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -275,15 +275,14 @@ class Shard:
         self.doc = np.searchsorted(bounds, self.start, "right")
         self.n_words = np.bincount(self.doc, minlength=len(texts))
         self.base = np.concatenate([[0], np.cumsum(self.n_words)[:-1]]).astype(np.int64)
-        self.hashes = hash_words(buf, self.start, self.end)
-        self.vocabulary, self.first, rank = np.unique(self.hashes, return_index=True, return_inverse=True)
+        self.vocabulary, self.first, rank = np.unique(hash_words(buf, self.start, self.end), return_index=True, return_inverse=True)
         self.word_rank = rank
         # One end mark after each document's words, of rank 0, which no test word has.
-        self.slot = np.arange(n) + self.doc
+        slot = np.arange(n) + self.doc
         self.rank = np.zeros(n + len(texts), np.int64)
-        self.rank[self.slot] = rank + 1
+        self.rank[slot] = rank + 1
         self.word_at = np.full(n + len(texts), -1, np.int64)
-        self.word_at[self.slot] = np.arange(n)
+        self.word_at[slot] = np.arange(n)
         self.sa = suffix_array(self.rank, window)
 
     def search(self, items: Items) -> tuple[np.ndarray, np.ndarray]:
@@ -363,7 +362,7 @@ class Shard:
             for d, x in sets.items():
                 found[d] |= x
             if longest and len(words):
-                for d, n, w, i in items.best(self.hashes[words], words, self.doc[words], short):
+                for d, n, w, i in items.best(self.vocabulary[self.word_rank[words]], words, self.doc[words], short):
                     best[d] = max(best[d], (n, w - int(self.base[d]), i), key=_better)
         return hit, found, best
 
@@ -378,7 +377,7 @@ def judge_long(text: bytes, blocks: Blocks, window: int, piece: int) -> tuple:
     while a < len(start):
         b = max(int(np.searchsorted(end, start[a] + piece, "right")), min(a + 2 * window, len(start)))
         s = Shard([text[start[a] : end[b - 1]]], window)
-        hashes[a:b] = s.hashes
+        hashes[a:b] = s.vocabulary[s.word_rank]
         for k, block in enumerate(blocks):
             hit, found, small = s.hits(block)
             if len(hit):

@@ -5,7 +5,9 @@ fingerprints (see `simhash`) bring together texts whose fingerprints differ in t
 however, fingerprints of 64 bits differ in 9.7 bits on average, and Golay keys wide enough for that meet by chance far too
 often to be of use on many texts (README has the figures). MinHash bands of the same shingles therefore bring together the rest: 24 keys a
 text, each over 4 minima, so that a pair of similarity 0.8 misses all of them with a chance of 3.2e-6, and more similar pairs with
-less. Every candidate of either kind that links is checked on the whole sets.
+less. Candidates are first held against each other by a byte of each of their 96 minima: the share of equal bytes estimates the
+similarity with a deviation of 0.04, and a pair below `PLAUSIBLE`, six deviations under the threshold, is dropped (a pair of
+similarity 0.8 with a chance under 1e-7). Every candidate that is left is checked on the whole sets, so links are exact.
 
 Texts with equal words are one node first. In each key all nodes are checked against a hub; where that leaves several
 components in a key, the nodes outside its largest are checked against all nodes of other components in it. What the
@@ -31,6 +33,7 @@ from .simhash import links as golay_links
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 HUB_ORDERS = 4
+PLAUSIBLE = 0.55  # share of equal bytes, for a threshold of 0.8
 
 
 def shingle_hashes(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
@@ -54,18 +57,26 @@ def node_of(words: list[bytes]) -> int:
     return xxh64_intdigest(b" ".join(words), SEED + 1) - (1 << 63)
 
 
-def band_keys(shingles: np.ndarray, bands: int = BANDS, rows: int = ROWS, block: int = 1 << 11) -> list[int]:
-    from xxhash import xxh64_intdigest
-
-    if not len(shingles):
-        return []
+def minima(shingles: np.ndarray, bands: int = BANDS, rows: int = ROWS, block: int = 1 << 11) -> np.ndarray:
+    """The least value of the shingles under each of some random orders."""
     rng = np.random.default_rng(SEED)
     times = rng.integers(0, 1 << 63, (bands * rows, 1), np.uint64) * np.uint64(2) + np.uint64(1)
     plus = rng.integers(0, 1 << 63, (bands * rows, 1), np.uint64) * np.uint64(2)
     least = np.full(bands * rows, np.iinfo(np.uint64).max)
     for k in range(0, len(shingles), block):
         np.minimum(least, (times * shingles[k : k + block] + plus).min(axis=1), out=least)
-    return [xxh64_intdigest(x.tobytes(), band) - (1 << 63) for band, x in enumerate(least.reshape(bands, rows))]
+    return least
+
+
+def band_keys(least: np.ndarray, rows: int = ROWS) -> list[int]:
+    from xxhash import xxh64_intdigest
+
+    return [xxh64_intdigest(x.tobytes(), band) - (1 << 63) for band, x in enumerate(least.reshape(-1, rows))]
+
+
+def sketch(least: np.ndarray) -> bytes:
+    """A byte of each minimum, mixed first, as least values have low bits that differ little."""
+    return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -78,11 +89,11 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _prints(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """doc_id, node, fp (the fingerprint), n (shingles) and keys for each row."""
+    """doc_id, node, fp (the fingerprint), n (shingles), sketch and keys for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, prints, sizes, keys = [], [], [], []
+            nodes, prints, sizes, sketches, keys = [], [], [], [], []
             for x in b.column(1).cast(pa.large_binary()):
                 words = (x.as_py() or b"").lower().split()
                 hashes = shingle_hashes(words, shingle)
@@ -90,12 +101,14 @@ def _prints(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
                 nodes.append(node_of(words))
                 prints.append(majority(hashes))
                 sizes.append(len(found))
-                keys.append(band_keys(found))
+                least = minima(found)
+                sketches.append(sketch(least))
+                keys.append(band_keys(least) if len(found) else [])
             fps = pa.array(np.array(prints, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), fps, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), fps, pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "n", "sketch", "keys"])
         release()
 
-    return _rows(docs, doc_id, text).mapInArrow(run, "doc_id long, node long, fp long, n long, keys array<long>")
+    return _rows(docs, doc_id, text).mapInArrow(run, "doc_id long, node long, fp long, n long, sketch binary, keys array<long>")
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, shingle: int, wanted: DataFrame) -> DataFrame:
@@ -134,6 +147,20 @@ def _golay_pairs(distinct: DataFrame) -> DataFrame:
     return equal.unionByName(linked.select("node", "n", "_node", "_n"))
 
 
+def _plausible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sketches do not rule out the similarity."""
+    least = similarity - (SIMILARITY - PLAUSIBLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, -1) for k in (2, 3))
+            yield b.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= least)) if b.num_rows else b.select([0, 1])
+
+    a = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
+    b = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,19 +174,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def links(members: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def links(members: DataFrame, pairs: DataFrame, distinct: DataFrame, sets_of, similarity: float = SIMILARITY) -> DataFrame:
     """Verified links (a, b) that connect what all similar pairs of a key, and the given pairs (node, n, _node, _n), would connect.
-    members: a written table of different (key, node, n)."""
+    members: a written table of different (key, node, n); sets_of makes the sets of some nodes."""
 
     def ordered(pairs: DataFrame) -> DataFrame:
         near = F.least("n", "_n") >= F.greatest("n", "_n") * (similarity - 1e-9)  # less similar by their sizes alone
         return pairs.where(near).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
+    def checked(pairs: DataFrame) -> DataFrame:
+        likely = materialise(_plausible(pairs, distinct, similarity), "near-likely")
+        nodes = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+        return materialise(_verified(likely, sets_of(nodes), similarity), "near-links")
+
     order = F.struct(F.xxhash64(F.pmod("key", F.lit(HUB_ORDERS)), "node").alias("o"), F.col("node"), F.col("n"))
     hubs = members.groupBy("key").agg(F.min(order).alias("hub")).select("key", F.col("hub.node").alias("_node"), F.col("hub.n").alias("_n"))
     met = members.join(hubs, "key").where("node <> _node").select("node", "n", "_node", "_n")
     tried = materialise(ordered(met.unionByName(pairs)), "near-pairs")
-    first = materialise(_verified(tried, sets, similarity), "near-links")
+    first = checked(tried)
 
     comp = materialise(components(first, "near-steps"), "near-components")
     named = members.join(comp.select("node", "root"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("c"))
@@ -169,22 +201,23 @@ def links(members: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: flo
     split = materialise(split.where("parts > 1 and m > 2").select("key", "big"), "near-split")
     outside = named.join(split, "key").where("c <> big").select("key", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("c").alias("_c"))
     more = ordered(named.join(outside, "key").where("c <> _c")).join(tried, ["a", "b"], "left_anti")
-    second = _verified(materialise(more, "near-pairs"), sets, similarity)
-    return materialise(first.unionByName(second), "near-links")
+    more = materialise(more, "near-pairs")
+    return first if more.isEmpty() else first.unionByName(checked(more))
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id for each row."""
     prints = materialise(_prints(docs, doc_id, text, shingle), "near-prints")
-    distinct = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "near-distinct")
+    distinct = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "near-distinct")
     keyed = distinct.select("node", "n", F.explode("keys").alias("key"))
     shared = materialise(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key"), "near-keys")
     members = materialise(keyed.join(shared, "key").select("key", "node", "n"), "near-members")
     pairs = materialise(_golay_pairs(distinct), "near-golay")
-    candidates = members.select("node").unionByName(pairs.select("node")).unionByName(pairs.select(F.col("_node").alias("node"))).distinct()
-    wanted = materialise(distinct.select("node", "rep").join(candidates, "node"), "near-wanted")
-    sets = _sets(docs, doc_id, text, shingle, wanted)
-    comp = materialise(components(links(members, pairs, sets, similarity), "near-steps"), "near-components")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return _sets(docs, doc_id, text, shingle, materialise(distinct.select("node", "rep").join(nodes, "node"), "near-wanted"))
+
+    comp = materialise(components(links(members, pairs, distinct, sets_of, similarity), "near-steps"), "near-components")
     named = comp.join(distinct.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component_id"))
     changed = comp.join(named, "root").select("node", "component_id")
     reps = distinct.select("node", "rep").join(changed, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
