@@ -128,7 +128,7 @@ FIXED = {w: s for s, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION,
 class Reader:
     """Turns a text into its clause weights. What a chunk between blanks means is remembered, up to a bound."""
 
-    def __init__(self, lexicon: Lexicon, most: int = 200_000):
+    def __init__(self, lexicon: Lexicon, most: int = 60_000):
         self.lexicon, self.most = lexicon, most
         self.memo: dict[bytes, tuple | None] = {}
 
