@@ -137,7 +137,7 @@ def distinct_first(spark, d):
 
 
 @query(STD + f"""SELECT addr_id, CASE WHEN zip5 <> '' AND coalesce({_zip3('zip5')}, '') = state THEN 'AA' ELSE 'A1' END || ',BB' || CASE WHEN street2 <> '' THEN ',CC' ELSE '' END AS footnotes,
-  CASE WHEN split_part(street2, ' ', 1) IN ('STE', 'FL', 'RM', 'DEPT', 'BLDG', 'OFC') THEN 'COMMERCIAL' WHEN split_part(street2, ' ', 1) IN ('APT', 'LOT', 'TRLR', 'SPC') THEN 'RESIDENTIAL' ELSE 'UNKNOWN' END AS rdi,
+  CASE WHEN split_part(street2, ' ', 1) IN ('STE', 'FL', 'RM', 'DEPT', 'BLDG', 'OFC') THEN 'COMMERCIAL' WHEN split_part(street2, ' ', 1) IN ('APT', 'UNIT', 'LOT', 'TRLR', 'SPC') THEN 'RESIDENTIAL' ELSE 'UNKNOWN' END AS rdi,
   CASE WHEN zip5 <> '' AND coalesce({_zip3('zip5')}, '') <> state THEN 'UNDELIVERABLE' ELSE 'DELIVERABLE' END AS deliverability FROM std""")
 def delivery_intelligence(spark, d):
     return scoring.delivery(std(spark, d)).select("addr_id", F.array_join("footnotes", ",").alias("footnotes"), "rdi", "deliverability")
@@ -570,7 +570,7 @@ def postal_layouts(spark, d):
 _SCRIPT = X.pick(("Main St", "улица Ленина", "東京都", "ひらがな町", "서울", "Ερμού", ""), "c_custkey")
 
 
-@query(f"SELECT CAST(c_custkey AS BIGINT) AS id, {X.pick(('-', 'RUS', 'CHN', 'JPN', 'KOR', 'GRC', '-'), 'c_custkey')} AS iso3, {X.pick(('Main St', 'ulitsa Lenina', '東京都', 'ひらがな町', '서울', 'Ermoύ', ''), 'c_custkey')} AS latin FROM customer")
+@query(f"SELECT CAST(c_custkey AS BIGINT) AS id, {X.pick(('-', 'RUS', 'CHN', 'JPN', 'KOR', 'GRC', '-'), 'c_custkey')} AS iso3, {X.pick(('Main St', 'ulitsa Lenina', '東京都', 'ひらがな町', '서울', 'Ermoy', ''), 'c_custkey')} AS latin FROM customer")
 def scripts(spark, d):
     q = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"), F.expr(_SCRIPT).alias("s"))
     return q.select("id", F.coalesce(layout.script_country(F.col("s")), F.lit("-")).alias("iso3"), layout.transliterate(F.col("s")).alias("latin"))

@@ -28,13 +28,20 @@ def street(k: str) -> str:
     return f"{_text(f'{k} * 7 % 900 + 1')} || ' ' || {pick(DIRECTIONS, k)} || {pick(NAMES, k)} || ' ' || {pick(SUFFIXES, k)}"
 
 
-ADDR = f"""
-SELECT k AS addr_id, {street('k')} || {pick(UNITS, 'k')} AS street1, CAST('' AS VARCHAR(1)) AS street2, {pick(tuple(p[0] for p in PLACES), 'k')} AS city,
+def addresses(address: str, building: str, table: str = "customer") -> str:
+    """Addresses by two expressions over a table: the address' number, which picks the unit, and its building's, which picks all else."""
+    return f"""
+SELECT a AS addr_id, {street('k')} || {pick(UNITS, 'a')} AS street1, CAST('' AS VARCHAR(1)) AS street2, {pick(tuple(p[0] for p in PLACES), 'k')} AS city,
   CASE WHEN k % 29 = 0 THEN 'NV' WHEN k % 31 = 0 THEN '' ELSE {pick(tuple(p[1] for p in PLACES), 'k')} END AS state,
   CASE WHEN k % 17 = 0 THEN '12' WHEN k % 13 = 0 THEN {_zip('k')} || '-1234' ELSE {_zip('k')} END AS postal_code
-FROM (SELECT CAST(c_custkey % 977 AS BIGINT) AS k FROM customer) c
+FROM (SELECT CAST({address} AS BIGINT) AS a, CAST({building} AS BIGINT) AS k FROM {table}) c
 """
 
+
+#: Five customers share a building, and some of them an address; both grow with the table.
+_ADDRESS = "c_custkey - CASE WHEN c_custkey % 4 = 0 AND c_custkey % 5 <> 0 THEN 1 ELSE 0 END"
+ADDR = addresses(_ADDRESS, "(c_custkey - c_custkey % 5) / 5")
+
 LINES = f"""
 SELECT s_suppkey AS addr_id, {street('k')} || ', ' || CASE WHEN k % 3 = 0 THEN 'Suite 10, ' ELSE '' END || {pick(tuple(p[0] for p in PLACES), 'k')} || ', '
   || {pick(('NY', 'TX', 'CA', 'IL', 'CO', 'FL', 'MA', 'WA'), 'k')} || ' ' || {_zip('k')} AS line

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_key, within_one_edit
+from ..functions.text import ascii_key, damerau_levenshtein, within_one_edit
 from ..plans.barrier import settle
 from ..sources.files import postal_candidates
 
@@ -20,10 +20,14 @@ def name_tokens(name: Column) -> Column:
 
 
 def names_agree(a: Column, b: Column) -> Column:
-    """Of two names' words (`name_tokens`): the same, one name's words all in the other (three letters at least), or one edit apart."""
+    """Of two names' words (`name_tokens`): the same, one name's words all in the other (three letters at least), or of four letters at
+    least and one edit apart, two where a name has over eight letters. Only such longer names reach Python."""
     x, y = a, b
     subset = lambda p, q: (F.size(p) > 0) & (F.size(F.array_except(p, q)) == 0) & (F.length(F.array_join(p, "")) >= 3)
-    return (x == y) | subset(x, y) | subset(y, x) | within_one_edit(F.array_join(x, " "), F.array_join(y, " "))
+    a, b = F.array_join(x, ""), F.array_join(y, "")
+    sure = (x == y) | subset(x, y) | subset(y, x) | ((F.least(F.length(a), F.length(b)) >= 4) & within_one_edit(a, b))
+    ask = ~sure & (F.least(F.length(a), F.length(b)) >= 4) & (F.greatest(F.length(a), F.length(b)) > 8) & (F.abs(F.length(a) - F.length(b)) <= 2)
+    return sure | F.coalesce(damerau_levenshtein(F.when(ask, a), F.when(ask, b)) <= 2, F.lit(False))
 
 
 def validate(rows: DataFrame, places: DataFrame, id_col: str = "id") -> DataFrame:

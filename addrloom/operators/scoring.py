@@ -11,7 +11,10 @@ from ..functions.us import zip3_state
 
 WEIGHTS = {"parse": 0.35, "ref": 0.35, "geo": 0.15, "cross": 0.15}
 AUTO_PASS, FUZZY_REVIEW = 0.95, 0.80
-RESIDENTIAL_UNITS, COMMERCIAL_UNITS = ("APT", "LOT", "TRLR", "SPC"), ("STE", "FL", "RM", "DEPT", "BLDG", "OFC")
+# Names of private mailbox firms, matched as whole words.
+CMRA_NAMES = ("THE UPS STORE", "UPS STORE", "POSTALANNEX", "POSTAL ANNEX", "MAIL BOXES ETC", "PAK MAIL", "POSTNET", "DAVINCI VIRTUAL", "DAVINCI MEETING", "REGUS", "INTELLIGENT OFFICE", "OFFICE EVOLUTION")
+CMRA = rf"(?<![A-Z])PMB(?![A-Z])|PRIVATE MAILBOX|(?<![A-Z0-9])(?:{'|'.join(CMRA_NAMES)})(?![A-Z0-9])"
+RESIDENTIAL_UNITS, COMMERCIAL_UNITS = ("APT", "UNIT", "LOT", "TRLR", "SPC"), ("STE", "FL", "RM", "DEPT", "BLDG", "OFC")
 
 
 # Three-digit ZIP prefixes with a metropolitan centre and its place.
@@ -38,7 +41,7 @@ def delivery(df: DataFrame) -> DataFrame:
     and raw (the whole input line). Elsewhere than in the US a standardized row is deliverable and nothing more is known."""
     raw = F.upper(F.coalesce("raw", F.lit("")))
     s1, s2, failed = F.col("street1"), F.col("street2"), F.col("address_status") == "parse_failed"
-    cmra = F.concat_ws(" ", s1, s2, raw).rlike(r"\bPMB\b|PRIVATE MAILBOX|\bUPS STORE\b|MAIL ?BOXES ETC")
+    cmra = F.concat_ws(" ", s1, s2, raw).rlike(CMRA)
     kind = F.split(s2, " ")[0]
     digits = F.regexp_replace(F.split(s1, " ")[0], r"\D", "")
     agrees = ~failed & (F.length("zip5") == 5) & zip_agrees(F.col("state"), F.col("zip5"))

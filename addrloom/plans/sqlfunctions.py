@@ -28,8 +28,12 @@ def _postal(code: str) -> tuple[str, str]:
     return (m[1], m[1]) if m[1] else (f"{m[2]}-{m[3]}", m[2])
 
 
-def address(street1: str | None, city: str | None, state: str | None, postal: str | None) -> tuple | None:
-    """The fields of ROW, or None where all arguments are null."""
+#: Buildings where an address needs a unit; more are a parameter of `register`.
+HUBS = frozenset(("100 WALL ST||NEW YORK|NY|10005|USA",))
+
+
+def address(street1: str | None, city: str | None, state: str | None, postal: str | None, hubs: frozenset = HUBS) -> tuple | None:
+    """The fields of ROW, or None where all arguments are null. An address in one of the hubs needs a unit to be deliverable."""
     if street1 is None and city is None and state is None and postal is None:
         return None
     street1, city, state, postal = (x or "" for x in (street1, city, state, postal))
@@ -55,15 +59,15 @@ def address(street1: str | None, city: str | None, state: str | None, postal: st
     building = "|".join((line, "", city, code, zip5, "USA")) if known and line else ""
     numbered = bool(re.match(r"\d*[1-9]", line)) or line.startswith(("PO BOX", "RR ", "HC ")) or city in ("APO", "FPO", "DPO")
     good = bool(key) and numbered and not (zip5 and by_zip != code)
-    return line, unit, city, code, shown, "USA", key, building, "standardized" if key else "parse_failed", "DELIVERABLE" if good else "UNDELIVERABLE"
+    return line, unit, city, code, shown, "USA", key, building, "standardized" if key else "parse_failed", "UNDELIVERABLE" if not good else "REQUIRES_SECONDARY" if building in hubs and not unit else "DELIVERABLE"
 
 
-def _udf(returns: str, pick: Callable):
+def _udf(returns: str, pick: Callable, hubs: frozenset):
     def four(a, b, c, d):
-        return pick([address(*x) for x in zip(*(v.astype(object).where(v.notna(), None) for v in (a, b, c, d)))])
+        return pick([address(*x, hubs) for x in zip(*(v.astype(object).where(v.notna(), None) for v in (a, b, c, d)))])
 
     def text(a):
-        return pick([None if x is None else address(x, "", "", "") for x in a.astype(object).where(a.notna(), None)])
+        return pick([None if x is None else address(x, "", "", "", hubs) for x in a.astype(object).where(a.notna(), None)])
 
     out = pd.DataFrame if "," in returns else pd.Series
     for f in (four, text):
@@ -71,7 +75,7 @@ def _udf(returns: str, pick: Callable):
     return F.pandas_udf(four, returns), F.pandas_udf(text, returns)
 
 
-def register(spark: SparkSession) -> None:
+def register(spark: SparkSession, hubs: frozenset = HUBS) -> None:
     """standardize_address, standardize_address_key and standardize_deliverability of (street1, city, state, postal_code), and of one
     text under the names with `_text`. Null where all arguments are null; a key is empty where the street is not understood."""
     names = [x.split()[0] for x in ROW.split(", ")]
@@ -81,6 +85,6 @@ def register(spark: SparkSession) -> None:
             pick = lambda rows: pd.DataFrame([x or (None,) * len(names) for x in rows], columns=names)
         else:
             pick = lambda rows, k=k: pd.Series([None if x is None else x[k] for x in rows], dtype=object)
-        four, text = _udf(returns, pick)
+        four, text = _udf(returns, pick, hubs)
         spark.udf.register(name, four)
         spark.udf.register(f"{name}_text", text)
