@@ -60,6 +60,24 @@ def release() -> None:
         pass
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What a Python worker keeps between tasks under a key, made where it is missing. A worker keeps one thing at a time."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Drops what tasks of another operator have left in this Python worker, as tasks of several stages share an executor's memory."""
+    if _KEPT:
+        _KEPT.clear()
+        release()
+
+
 def keep_rows(df: DataFrame, text: str, make_mask, group_bytes: int = 4 << 20) -> DataFrame:
     """The rows of df, with all their columns, for which a mask over groups of texts is true. make_mask() is called once a task and
     returns a function from a list of texts, as bytes, to their verdicts. Nothing is shuffled."""
@@ -68,9 +86,10 @@ def keep_rows(df: DataFrame, text: str, make_mask, group_bytes: int = 4 << 20) -
     def run(batches):
         import pyarrow as pa
 
+        forget()
         mask = make_mask()
         for batch in batches:
-            keep, group, size = [], [], 0
+            keep, group, size, x = [], [], 0, None
             for x in batch.column(place).cast(pa.large_binary()):
                 group.append(x.as_py() or b"")
                 size += len(group[-1])
@@ -79,6 +98,8 @@ def keep_rows(df: DataFrame, text: str, make_mask, group_bytes: int = 4 << 20) -
                     group, size = [], 0
             keep += mask(group) if group else []
             yield batch.filter(pa.array(keep, pa.bool_()))
+            del batch, group, x
+        del mask
         release()
 
     return df.mapInArrow(run, df.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release
+from .common import forget, materialise, release
 from .simhash import SEED, components, majority
 from .simhash import links as golay_links
 
@@ -92,6 +92,7 @@ def _prints(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
     """doc_id, node, fp (the fingerprint), n (shingles), sketch and keys for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             nodes, prints, sizes, sketches, keys = [], [], [], [], []
             for x in b.column(1).cast(pa.large_binary()):
@@ -115,6 +116,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, shingle: int, wanted: DataFra
     """node and its set as bytes for each node of wanted (node, rep)."""
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: set[tuple] = set()  # an id may hold a text many times: a task sends it once
         for b in batches:
             nodes = [node_of((x.as_py() or b"").lower().split()) for x in b.column(1).cast(pa.large_binary())]
@@ -126,6 +128,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, shingle: int, wanted: DataFra
         release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             sets = [shingle_set((x.as_py() or b"").lower().split(), shingle).tobytes() for x in b.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
@@ -152,6 +155,7 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> Data
     least = similarity - (SIMILARITY - PLAUSIBLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, -1) for k in (2, 3))
             yield b.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= least)) if b.num_rows else b.select([0, 1])
@@ -163,6 +167,7 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> Data
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             left, right = b.column(2), b.column(3)
             good = [jaccard(np.frombuffer(left[k].as_py(), np.uint64), np.frombuffer(right[k].as_py(), np.uint64)) >= similarity for k in range(b.num_rows)]

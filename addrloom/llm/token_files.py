@@ -29,11 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, release, table
+from .common import fresh_path, kept, materialise, release, table
 
 MAGIC = b"ALZDOC1\n"
 MEMO_ENTRIES = 200_000
-_MEMO: dict = {}
 #: Of Latin-1: its lower case, and the kinds of its characters: blanks, `a` letters and digits, `.` full stop and comma, `#` others.
 LOWER = bytes(ord(chr(c).lower()) if len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 256 else c for c in range(256))
 KINDS = bytes(ord(" " if chr(c) in " \t\n\x0b\f\r" else "." if chr(c) in ".," else "a" if chr(c).isascii() and chr(c).isalnum() or 192 <= c and c not in (215, 247) else "#") for c in range(256))
@@ -137,10 +136,8 @@ class ChunkEncoder:
 
 
 def encoder(path: str, width: int) -> ChunkEncoder:
-    """One for each Python worker, kept between tasks."""
-    if (path, width) not in _MEMO:
-        _MEMO[path, width] = ChunkEncoder(path, width)
-    return _MEMO[path, width]
+    """One for each Python worker, kept between tasks of this operator."""
+    return kept(("tokens", path, width), lambda: ChunkEncoder(path, width))
 
 
 def id_width(tokenizer_path: str) -> int:
