@@ -2,6 +2,9 @@
 
 Toxic documents go, one document of each near-duplicate group (5-word shingles, Jaccard 0.8) stays, documents with benchmark passages go, sources are
 mixed to target weights (no document is lost, those of small sources are repeated), and token files are written and read.
+
+A stage's plan runs when its caller writes it, so each stage sets the size of Arrow batches (`BATCHES`) for the session; run() puts back
+what was set before.
 """
 
 from __future__ import annotations
@@ -11,16 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 from addrloom.llm import decontaminate, mixing, simhash, token_files, toxicity
 from addrloom.llm.common import materialise, table
 
+#: Arrow batches of the stages: texts may be long, and tasks of several stages share an executor's memory.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.mild_rows(docs, toxicity.trained(spark, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.one_of_each(docs, shingle=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -29,6 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return token_files.token_digest(docs)
 
 
@@ -44,16 +59,10 @@ STAGES = [
 ORACLE_SQL = None
 
 
-#: Arrow batches of the stages: texts may be long, and tasks of several stages share an executor's memory.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     before = {k: spark.conf.get(k, None) for k in BATCHES}
     try:
-        for k, v in BATCHES.items():
-            spark.conf.set(k, v)
         for name, stage in STAGES:
             docs = materialise(stage(spark, docs, sf_dir), name)
     finally:
