@@ -9,10 +9,12 @@ less. Candidates are first held against each other by a byte of each of their 96
 similarity with a deviation of 0.04, and a pair below `PLAUSIBLE`, six deviations under the threshold, is dropped (a pair of
 similarity 0.8 with a chance under 1e-7). Every candidate that is left is checked on the whole sets, so links are exact.
 
-Texts with equal words are one node first. In each key all nodes are checked against a hub; where that leaves several
-components in a key, the nodes outside its largest are checked against all nodes of other components in it. What the
-second step leaves out lies within a component already, so components are those of all pairs that meet in a key, and a
-large group of near copies takes a few checks a member.
+Texts with equal words are one node first. In each key all nodes are checked against a hub. Where that leaves several
+components in a key, its nodes go on by a prefix filter: shingles get one order, those of a single component first, then the rarer
+ones, and of two similar sets from different components some of the first shingles are the same. So texts that share long
+passages but are not similar do not meet, as their own shingles come first. In each such shingle nodes are checked against the one
+with the least share of own shingles, the likeliest original, then pairs of components that are still apart, where the places of the
+shingle leave room for the similarity. The filter is exact, so components are those of all pairs that meet in a key.
 
 Defined cases: words are split and lower-cased as for fingerprints; a text of fewer words is one shingle; null and wordless
 texts are copies of each other; nodes are named by 64 bits of their words' hash, as are shingles; ids are treated as in simhash.
@@ -179,6 +181,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _prefixes(hard: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The first shingles of each node (node, n, c) in one order of all: those of one component alone, then the rarer ones. Rows are node, n,
+    c, own (how many come first that no other component has), pos (counted from 1) and key (the shingle), for as many as two sets of
+    that similarity must share one of; those that one component alone has are left out, as they make no pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for b in batches:
+            sizes = [0, *(len(x.as_py()) // 8 for x in b.column(1))]
+            values = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(values))], names=["node", "keys"])
+        release()
+
+    spread = sets.select("node", "shingles").mapInArrow(run, "node long, keys array<long>").join(hard, "node").select("node", "n", "c", F.explode("keys").alias("key"))
+    common = spread.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key", "m")
+    met = spread.join(materialise(common, "near-common"), "key").groupBy("node").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.sort_array(F.collect_list(F.struct("m", "key"))).alias("keys"))
+    met = met.withColumn("own", F.col("n") - F.size("keys")).withColumn("most", F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - F.col("own"))
+    first = met.where("most > 0").select("node", "n", "c", "own", F.posexplode(F.slice("keys", F.lit(1), F.col("most").cast("int"))).alias("k", "x"))
+    return materialise(first.select("node", "n", "c", "own", (F.col("own") + F.col("k") + 1).alias("pos"), F.col("x.key").alias("key")), "near-prefixes")
+
+
+def _prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (node, n, _node, _n) of different components that share a first shingle, at places that leave room for the similarity. The
+    smaller set of a pair needs fewer of its first shingles."""
+    share = similarity / (1 + similarity)
+    small = rows.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * 2 * share - 1e-9) + 1)
+    other = rows.select("key", *(F.col(x).alias(f"_{x}") for x in ("node", "n", "c", "pos")))
+    room = 1 + F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos")) >= (F.col("n") + F.col("_n")) * share - 1e-9
+    near = (F.col("n") <= F.col("_n")) & (F.col("n") >= F.col("_n") * (similarity - 1e-9))
+    return small.join(other, "key").where((F.col("c") != F.col("_c")) & near & room).select("node", "n", "_node", "_n")
+
+
 def links(members: DataFrame, pairs: DataFrame, distinct: DataFrame, sets_of, similarity: float = SIMILARITY) -> DataFrame:
     """Verified links (a, b) that connect what all similar pairs of a key, and the given pairs (node, n, _node, _n), would connect.
     members: a written table of different (key, node, n); sets_of makes the sets of some nodes."""
@@ -187,8 +221,10 @@ def links(members: DataFrame, pairs: DataFrame, distinct: DataFrame, sets_of, si
         near = F.least("n", "_n") >= F.greatest("n", "_n") * (similarity - 1e-9)  # less similar by their sizes alone
         return pairs.where(near).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
-    def checked(pairs: DataFrame) -> DataFrame:
+    def checked(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         likely = materialise(_plausible(pairs, distinct, similarity), "near-likely")
+        if sets is not None:
+            return materialise(_verified(likely, sets, similarity), "near-links")
         nodes = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
         return materialise(_verified(likely, sets_of(nodes), similarity), "near-links")
 
@@ -202,12 +238,25 @@ def links(members: DataFrame, pairs: DataFrame, distinct: DataFrame, sets_of, si
     named = members.join(comp.select("node", "root"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("c"))
     named = materialise(named, "near-named")
     counts = named.groupBy("key", "c").agg(F.count("*").alias("m"))
-    split = counts.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("big"), F.count("*").alias("parts"), F.sum("m").alias("m"))
-    split = materialise(split.where("parts > 1 and m > 2").select("key", "big"), "near-split")
-    outside = named.join(split, "key").where("c <> big").select("key", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("c").alias("_c"))
-    more = ordered(named.join(outside, "key").where("c <> _c")).join(tried, ["a", "b"], "left_anti")
-    more = materialise(more, "near-pairs")
-    return first if more.isEmpty() else first.unionByName(checked(more))
+    split = counts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("m").alias("m")).where("parts > 1 and m > 2").select("key")
+    hard = materialise(named.join(split, "key").select("node", "n", "c").distinct(), "near-hard")
+    if hard.isEmpty():
+        return first
+    sets = sets_of(hard.select("node"))
+    rows = _prefixes(hard, sets, similarity)
+
+    hubs = rows.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("o"), F.col("node"), F.col("n"), F.col("c"))).alias("hub"))
+    hubs = materialise(hubs.select("key", F.col("hub.node").alias("_node"), F.col("hub.n").alias("_n"), F.col("hub.c").alias("_c")), "near-hubs")
+    central = ordered(rows.join(hubs, "key").where("c <> _c").select("node", "n", "_node", "_n")).join(tried, ["a", "b"], "left_anti")
+    central = materialise(central, "near-pairs")
+    first = materialise(first.unionByName(checked(central, sets)), "near-links")
+
+    comp = materialise(components(first, "near-steps"), "near-components")
+    rows = rows.join(comp.select("node", "root"), "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
+    rows = materialise(rows, "near-prefixes")
+    met = _prefix_pairs(rows, similarity)
+    more = materialise(ordered(met).join(tried.unionByName(central), ["a", "b"], "left_anti"), "near-pairs")
+    return first if more.isEmpty() else first.unionByName(checked(more, sets))
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
