@@ -54,3 +54,21 @@ def test_chains_and_odd_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1))
     assert {r.doc_id: r.component_id for r in N.groups(docs).collect()} == want
     assert N.groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_prefix_filter_keeps_texts_with_a_shared_passage_apart(spark):
+    """Half of each text is shared, some texts differ in few words: pairs are met only if they can be similar, and no similar one is missed."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(80))
+    texts = [f"{passage} {' '.join(f'u{k}x{i}' for i in range(80))}" for k in range(30)]
+    for k in range(10):
+        words = texts[k].split()
+        words[rng.randrange(80, 160)] = f"z{k}"
+        texts.append(" ".join(words))
+    sets = [N.shingle_set(x.encode().split(), 5) for x in texts]
+    hard = spark.createDataFrame([(k, len(s), k) for k, s in enumerate(sets)], "node long, n long, c long")
+    held = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "node long, shingles binary")
+    met = {tuple(sorted((r.node, r._node))) for r in N._prefix_pairs(N._prefixes(hard, held, 0.8), 0.8).collect()}
+    similar = {(i, j) for j in range(len(texts)) for i in range(j) if N.jaccard(sets[i], sets[j]) >= 0.8}
+    assert similar <= met and len(similar) == 10
+    assert len(met) <= 2 * len(similar)
