@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_MADE: list[list[DataFrame]] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,9 +41,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out.written_to = path
+    for made in _MADE[-1:]:
+        made.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Lists the tables that `materialise` writes inside, so that those of no more use can be discarded."""
+    _MADE.append([])
+    try:
+        yield _MADE[-1]
+    finally:
+        _MADE.pop()
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table that `materialise` has written, once nothing reads it any more."""
     hadoop_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)

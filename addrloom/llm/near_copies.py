@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialise, release
+from .common import discard, forget, materialise, release, scratch
 from .simhash import SEED, components, majority
 from .simhash import links as golay_links
 
@@ -259,8 +259,8 @@ def links(members: DataFrame, pairs: DataFrame, distinct: DataFrame, sets_of, si
     return first if more.isEmpty() else first.unionByName(checked(more, sets))
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and component_id for each row."""
+def _groups(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """As groups, and the tables that the result reads."""
     prints = materialise(_prints(docs, doc_id, text, shingle), "near-prints")
     distinct = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "near-distinct")
     keyed = distinct.select("node", "n", F.explode("keys").alias("key"))
@@ -275,4 +275,15 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     named = comp.join(distinct.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component_id"))
     changed = comp.join(named, "root").select("node", "component_id")
     reps = distinct.select("node", "rep").join(changed, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.select("doc_id", "node").join(materialise(reps, "near-reps"), "node").select("doc_id", "component_id")
+    reps = materialise(reps, "near-reps")
+    return prints.select("doc_id", "node").join(reps, "node").select("doc_id", "component_id"), [prints, reps]
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id for each row. All other tables written on the way are deleted."""
+    with scratch() as made:
+        out, needed = _groups(docs, doc_id, text, shingle, similarity)
+    for x in made:
+        if not any(x is y for y in needed):
+            discard(x)
+    return out
