@@ -63,26 +63,48 @@ def within_box(points: DataFrame, min_lon: float, min_lat: float, max_lon: float
     return points.where(lat & lon)
 
 
+def _cell_row(lat: Column, step: Column) -> Column:
+    return F.floor((lat + 90.0) / step).cast("long")
+
+
+def _cell_columns(row: Column, step: Column) -> Column:
+    """Number of columns of a row, by the shorter of its two edges: one at a pole, cells no narrower than high elsewhere."""
+    edge = F.greatest(F.abs(row * step - 90.0), F.abs((row + 1) * step - 90.0))
+    return F.greatest(F.lit(1), F.floor(F.greatest(F.cos(F.radians(F.least(edge, F.lit(90.0)))), F.lit(0.0)) * 360.0 / step)).cast("long")
+
+
+def _cell_of(points: DataFrame, lat: str, lon: str, step: Column) -> DataFrame:
+    """Adds the place's cell _r, _c in a grid of rows of a height in degrees."""
+    n = _cell_columns(F.col("_r"), step)
+    return points.withColumn("_r", _cell_row(F.col(lat), step)).withColumn("_c", F.least(F.floor(F.pmod(F.col(lon) + 180.0, F.lit(360.0)) * n / 360.0).cast("long"), n - 1))
+
+
+def _cells_near(centers: DataFrame, reach: Column, step: Column) -> DataFrame:
+    """A row for each cell _r, _c that the circle of a reach in degrees may touch. A circle spans the longitudes asin(sin(reach) / cos(lat)) to
+    either side, and all of them where it holds a pole; columns wrap at the antimeridian."""
+    lat, lon = F.col("lat"), F.col("lon")
+    side = F.when(F.abs(lat) + reach >= 89.999, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(reach)) / F.cos(F.radians(lat))))) + 1e-6)
+    out = centers.withColumn("_side", side).withColumn("_r", F.explode(F.sequence(_cell_row(lat - reach, step), _cell_row(lat + reach, step))))
+    n = F.col("_w")
+    out = out.withColumn("_w", _cell_columns(F.col("_r"), step))
+    first, last = (F.floor((lon + 180.0 + sign * F.col("_side")) * n / 360.0).cast("long") for sign in (-1, 1))
+    columns = F.when(last - first + 1 >= n, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.transform(F.sequence(first, last), lambda c: F.pmod(c, n)))
+    return out.withColumn("_c", F.explode(columns)).drop("_side", "_w")
+
+
+def _degrees(metres: Column) -> Column:
+    """The angle of a distance on `haversine`'s sphere, a little wider than rounding may make it."""
+    return F.degrees(metres / 6_371_000.0) * (1 + 1e-9) + 1e-6
+
+
 def radius_join(centers: DataFrame, points: DataFrame, radius_m: float, limit: int | None = None) -> DataFrame:
     """Points within a radius of each center (center_id, lat, lon), nearest first. Both sides get grid cells of the radius' height; a
-    center looks into the cells its circle may touch, so the join is on (cell row, cell column) and no pair outside them is formed.
-    Cells near the poles span all longitudes as their column count falls to one; columns wrap at the antimeridian."""
-    step = max(radius_m / 111_320.0, 1e-4)
-    row_of = lambda lat: F.floor((lat + 90.0) / F.lit(step)).cast("long")
-
-    def columns_in(row: Column) -> Column:
-        """Number of columns of a row, by the shorter of its two edges: a column is at least as wide as the radius."""
-        edge = F.greatest(F.abs(row * step - 90.0), F.abs((row + 1) * step - 90.0))
-        return F.greatest(F.lit(1), F.floor(F.greatest(F.cos(F.radians(F.least(edge, F.lit(90.0)))), F.lit(0.0)) * 360.0 / step)).cast("long")
-
-    column_of = lambda lon, n: F.least(F.floor((F.pmod(lon + 180.0, F.lit(360.0))) * n / 360.0).cast("long"), n - 1)
-    p = points.withColumn("_r", row_of(F.col("latitude"))).withColumn("_c", column_of(F.col("longitude"), columns_in(F.col("_r"))))
-    c = centers.withColumn("_r", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: row_of(F.col("lat")) + d)))
-    n = columns_in(F.col("_r"))
-    near = F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.pmod(column_of(F.col("lon"), n) + d, n)))
-    c = c.withColumn("_c", F.explode(near))
+    center looks into the cells its circle may touch, so the join is on (cell row, cell column) and no pair outside them is formed."""
+    reach = _degrees(F.lit(float(radius_m)))
+    step = F.greatest(reach, F.lit(1e-4))
     far = haversine(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))
-    out = c.join(p, ["_r", "_c"]).withColumn("distance_m", far).where(F.col("distance_m") <= radius_m).drop("_r", "_c")
+    out = _cells_near(centers, reach, step).join(_cell_of(points, "latitude", "longitude", step), ["_r", "_c"])
+    out = out.withColumn("distance_m", far).where(F.col("distance_m") <= radius_m).drop("_r", "_c")
     if limit is None:
         return out
     rank = F.row_number().over(Window.partitionBy("center_id").orderBy("distance_m", "point_id"))

@@ -1,4 +1,5 @@
 import json
+import math
 import random
 
 import pyarrow as pa
@@ -112,6 +113,24 @@ def test_radius_join_near_poles_and_antimeridian(spark):
         assert got == {(x.center_id, x.point_id) for x in c.crossJoin(p).where(d <= r).collect()}
 
 
+@pytest.mark.parametrize("r", [1000.0, 700_000.0])
+def test_radius_join_just_inside_the_radius(spark, r):
+    """Points a little nearer than the radius in all directions from centers beside the edges of rows that are 1/111,320 degrees a metre high."""
+    pts, centers = [], []
+    d, step = r * 0.9998 / 6_371_000.0, r / 111_320.0
+    for k in range(1, 28):
+        lat = math.radians(k * step - 90 + (1e-5 if k % 2 else -1e-5) * step)
+        for turn in range(0, 360, 15):
+            i, lon, turn = len(pts), -180 + k * 13.1, math.radians(turn)
+            to = math.asin(math.sin(lat) * math.cos(d) + math.cos(lat) * math.sin(d) * math.cos(turn))
+            by = math.atan2(math.sin(turn) * math.sin(d) * math.cos(lat), math.cos(d) - math.sin(lat) * math.sin(to))
+            centers.append((i, math.degrees(lat), lon))
+            pts.append((i, math.degrees(to), (lon + math.degrees(by) + 540) % 360 - 180))
+    p, c = spark.createDataFrame(pts, "point_id long, latitude double, longitude double"), spark.createDataFrame(centers, "center_id long, lat double, lon double")
+    found = lookup.radius_join(c, p, r).where("center_id = point_id")
+    assert found.count() == found.distinct().count() == len(pts)
+
+
 def test_isotonic_knots_and_calibration(spark):
     xs, ys = evaluation.fit_isotonic(spark.createDataFrame([(0.1, False), (0.2, True), (0.3, False), (0.4, True), (0.4, True), (0.9, True)], "score double, was_correct boolean"))
     assert xs == pytest.approx([0.1, 0.25, (0.4 + 0.4 + 0.9) / 3]) and ys == pytest.approx([0.0, 0.5, 1.0])
