@@ -36,16 +36,41 @@ def coalesce_lookups(rows: DataFrame, id_col: str, steps: list[tuple[str, DataFr
 def interpolate_ranges(rows: DataFrame, segments: DataFrame, offset: float = 0.00009) -> DataFrame:
     """Street-range interpolation: rows (id, number, street_name, postal_code) with segments (seg_id, street_name, postal_code or null, from_number,
     to_number, start/end lat/lon, parity). Number inside the range and of its parity, first segment by seg_id; linear along the
-    segment, moved to the side of the number by about 10 m. Joined on the street with the range as residual."""
-    s = segments.select(*[F.col(c).alias(f"s_{c}") for c in segments.columns])
-    low, high = F.least("s_from_number", "s_to_number"), F.greatest("s_from_number", "s_to_number")
-    odd = F.col("number") % 2 != 0
-    fits = (
-        (F.col("street_name") == F.col("s_street_name")) & F.col("number").between(low, high)
-        & (F.col("s_postal_code").isNull() | (F.col("postal_code") == F.col("s_postal_code")) | (F.coalesce("postal_code", F.lit("")) == ""))
-        & ((F.col("s_parity") == "BOTH") | ((F.col("s_parity") == "ODD") & odd) | ((F.col("s_parity") == "EVEN") & ~odd))
-    )
-    hit = rows.join(s, fits).groupBy("id", "number").agg(F.min_by(F.struct(*[f"s_{c}" for c in segments.columns]), "s_seg_id").alias("s")).select("id", "number", "s.*")
+    segment, moved to the side of the number by about 10 m. Numbers are whole.
+
+    A range falls into blocks of 2^level numbers that start at a multiple of their size, two of a size at most. For each street, postal
+    code, parity and block the first segment is kept, and a number looks into the one block of each size that holds it: joins are by
+    equality, and no house meets all segments of its street. Rows of one street, number and postal code are looked up once."""
+    down = lambda x, i: F.call_function("shiftright", x, i)
+
+    def of_level(i: Column) -> Column:
+        """The blocks of a size that lie in the range, but in no larger block of it: the first, if odd, and the last, if even."""
+        first, end = -down(-F.col("_low"), i), down(F.col("_high") + 1, i)
+        found = F.array(F.when((first < end) & (first % 2 != 0), first), F.when((first < end) & (end % 2 != 0), end - 1))
+        return F.transform(F.array_compact(found), lambda x: F.struct(i.alias("level"), x.alias("block")))
+
+    # Rows without a postal code take segments of any code, which are listed once more for them (kind 0); others take their code's and those without.
+    none = F.lit("")
+    code = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("code"))
+    listed = F.array(code(0, none), F.when(F.col("postal_code").isNull(), code(2, none)).otherwise(code(1, F.col("postal_code"))))
+    wanted = F.when(F.col("postal_code") == "", F.array(code(0, none))).otherwise(F.array(code(1, F.col("postal_code")), code(2, none)))
+
+    s = segments.withColumn("s", F.struct(*[F.col(c).alias(f"s_{c}") for c in segments.columns]))
+    low, high = (f("from_number", "to_number").cast("long") for f in (F.least, F.greatest))
+    s = s.select("s", "street_name", low.alias("_low"), high.alias("_high"), F.explode(listed).alias("_code"), F.expr("CASE parity WHEN 'BOTH' THEN array(0, 1) WHEN 'ODD' THEN array(1) WHEN 'EVEN' THEN array(0) END").alias("_odd"))
+    sizes = F.sequence(F.lit(0), F.floor(F.log2(F.col("_high") - F.col("_low") + 1)).cast("int") + 1)
+    s = s.withColumn("_odd", F.explode("_odd")).withColumn("_block", F.explode(F.flatten(F.transform(sizes, of_level))))
+    keys = ["street_name", "_code", "_odd", "_block"]
+    first = s.groupBy(*keys).agg(F.min_by("s", "s.s_seg_id").alias("s"))
+
+    rows = rows.select("id", "number", "street_name", F.coalesce("postal_code", none).alias("postal_code"))
+    place = ["street_name", "number", "postal_code"]
+    levels = F.broadcast(first.agg(F.collect_set("_block.level").alias("_levels")))  # 64 at most
+    seen = rows.select(*place).distinct().crossJoin(levels).withColumn("_level", F.explode("_levels")).withColumn("_code", F.explode(wanted))
+    number = F.col("number").cast("long")
+    seen = seen.select(*place, "_code", F.when(number % 2 != 0, 1).otherwise(0).alias("_odd"), F.struct(F.col("_level").alias("level"), down(number, F.col("_level")).alias("block")).alias("_block"))
+    best = seen.join(first, keys).groupBy(*place).agg(F.min_by("s", "s.s_seg_id").alias("s"))
+    hit = rows.join(best, place).groupBy("id", "number").agg(F.min_by("s", "s.s_seg_id").alias("s")).select("id", "number", "s.*")
     span = F.col("s_to_number") - F.col("s_from_number")
     mu = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(span != 0, (F.col("number") - F.col("s_from_number")) / F.nullif(span, F.lit(0))).otherwise(0.5)))
     dx, dy = F.col("s_end_lon") - F.col("s_start_lon"), F.col("s_end_lat") - F.col("s_start_lat")

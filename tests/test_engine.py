@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -131,6 +132,32 @@ def test_radius_join_just_inside_the_radius(spark, r):
     assert found.count() == found.distinct().count() == len(pts)
 
 
+def test_interpolation_takes_the_first_fitting_segment(spark):
+    """Ranges of all widths, negative and single numbers, all parities, rows and segments with and without postal codes, against every pair."""
+    rng = random.Random(7)
+    codes = ["10005", "10006", None]
+    segs, rows = [], []
+    for i in range(300):
+        low = rng.randint(-40, 900)
+        ends = [low, low + rng.choice([0, 1, 7, 8, 63, 99, rng.randint(0, 400)])]
+        rng.shuffle(ends)
+        segs.append((i, rng.choice("AB"), rng.choice(codes + ["10007"]), *ends, 30.0, -100.0 - i, 30.01, -100.02 - i, rng.choice(["BOTH", "ODD", "EVEN", None])))
+    for i in range(600):
+        rows.append((i, rng.randint(-50, 1300), rng.choice(["A", "B", "C", None]), rng.choice(codes + [""])))
+    rng.shuffle(segs)
+    s = spark.createDataFrame(segs, "seg_id long, street_name string, postal_code string, from_number int, to_number int, start_lat double, start_lon double, end_lat double, end_lon double, parity string")
+    h = spark.createDataFrame(rows, "id long, number int, street_name string, postal_code string")
+    want = {}
+    for i, n, street, code in rows:
+        fit = [x[0] for x in segs if x[1] == street and min(x[3:5]) <= n <= max(x[3:5]) and (x[2] is None or not code or x[2] == code) and x[9] in ("BOTH", "ODD" if n % 2 else "EVEN")]
+        if fit:
+            want[i] = min(fit)
+    found = lookup.interpolate_ranges(h, s)
+    assert {r.id: r.seg_id for r in found.collect()} == want
+    joins = re.findall(r"Join Inner, (.*)", found._jdf.queryExecution().optimizedPlan().toString())
+    assert not any(re.search(" [<>]=? ", j) for j in joins)  # no range is tried on all pairs of a street
+
+
 def test_isotonic_knots_and_calibration(spark):
     xs, ys = evaluation.fit_isotonic(spark.createDataFrame([(0.1, False), (0.2, True), (0.3, False), (0.4, True), (0.4, True), (0.9, True)], "score double, was_correct boolean"))
     assert xs == pytest.approx([0.1, 0.25, (0.4 + 0.4 + 0.9) / 3]) and ys == pytest.approx([0.0, 0.5, 1.0])
