@@ -5,6 +5,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from addrloom.functions import text
@@ -132,6 +133,45 @@ def test_radius_join_just_inside_the_radius(spark, r):
     assert found.count() == found.distinct().count() == len(pts)
 
 
+def test_nearest_points_in_towns_and_deserts(spark):
+    """The nearest few against all pairs; a center's cell may hold none, few or very many points, and pairs formed grow with the centers."""
+    rng = random.Random(9)
+    towns = [(0.0, 179.999), (51.5, 0.0), (89.99, 30.0), (-40.0, -71.3)]
+    place = lambda spread: (lambda t: (max(-90.0, min(90.0, t[0] + rng.gauss(0, spread))), (t[1] + rng.gauss(0, spread) + 540) % 360 - 180))(rng.choice(towns))
+    pts = [(i, *(place(0.02) if i % 3 else place(3.0) if i % 2 else (rng.uniform(-90, 90), rng.uniform(-180, 180)))) for i in range(2000)]
+    pts += [(5000 + i, 51.5, 0.0) for i in range(30)]
+    centers = [(i, *(place(0.02) if i % 3 else place(5.0) if i % 2 else (rng.uniform(-90, 90), rng.uniform(-180, 180)))) for i in range(400)] + [(400, 51.5, 0.0), (None, 51.4, 0.1)]
+    p, c = spark.createDataFrame(pts, "point_id long, latitude double, longitude double"), spark.createDataFrame(centers, "center_id long, lat double, lon double")
+    d = text.haversine(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))
+    all_pairs = c.crossJoin(p).withColumn("d", d)
+    for radius, limit in ((1_500_000.0, 3), (20_000.0, 1), (19_000_000.0, 7)):
+        rank = F.row_number().over(Window.partitionBy("center_id").orderBy("d", "point_id"))
+        want = sorted((str(r.center_id), r.point_id) for r in all_pairs.where(F.col("d") <= radius).withColumn("n", rank).where(F.col("n") <= limit).collect())
+        found = lookup.radius_join(c, p, radius, limit=limit)
+        assert set(found.columns) == {"center_id", "lat", "lon", "point_id", "latitude", "longitude", "distance_m"}
+        assert sorted((str(r.center_id), r.point_id) for r in found.collect()) == want
+
+
+def joined_rows(node) -> int:
+    """Rows that the joins of a plan have made."""
+    name, children = node.nodeName(), node.children()
+    if name.startswith("AdaptiveSparkPlan"):
+        return joined_rows(node.executedPlan())
+    if name.endswith("QueryStage"):
+        return joined_rows(node.plan())
+    return (node.metrics().apply("numOutputRows").value() if "Join" in name else 0) + sum(joined_rows(children.apply(k)) for k in range(children.size()))
+
+
+def test_nearest_points_form_few_pairs(spark):
+    """Some 1,000 points lie within the radius of each center; not all of them are paired with it."""
+    place = lambda seed, low: low + 5.0 * F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    c = spark.range(5000).select(F.col("id").alias("center_id"), place(1, 40).alias("lat"), place(2, 10).alias("lon"))
+    p = spark.range(5000).select(F.col("id").alias("point_id"), place(3, 40).alias("latitude"), place(4, 10).alias("longitude"))
+    found = lookup.radius_join(c, p, 120_000.0, limit=3)
+    assert len(found.collect()) == 15_000
+    assert 0 < joined_rows(found._jdf.queryExecution().executedPlan()) < 100 * 5000
+
+
 def test_interpolation_takes_the_first_fitting_segment(spark):
     """Ranges of all widths, negative and single numbers, all parities, rows and segments with and without postal codes, against every pair."""
     rng = random.Random(7)
