@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, forget, materialise, release, scratch
+from .common import discard, forget, materialise, maybe_among, release, scratch
 from .simhash import SEED, components, majority
 from .simhash import links as golay_links
 
@@ -115,12 +115,15 @@ def _prints(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, shingle: int, wanted: DataFrame) -> DataFrame:
-    """node and its set as bytes for each node of wanted (node, rep)."""
+    """node and its set as bytes for each node of wanted (node, rep), a written table. Texts that cannot be wanted are not shuffled."""
+
+    maybe_wanted = maybe_among(wanted.select("rep"))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         seen: set[tuple] = set()  # an id may hold a text many times: a task sends it once
         for b in batches:
+            b = b.filter(maybe_wanted(b.column(0)))
             nodes = [node_of((x.as_py() or b"").lower().split()) for x in b.column(1).cast(pa.large_binary())]
             new = []
             for pair in zip(b.column(0).to_pylist(), nodes):

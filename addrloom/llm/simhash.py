@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, release, table
+from .common import discard, materialise, maybe_in, release, table
 
 SEED, SHINGLE, DISTANCE, MOST = 42, 3, 2, 1024
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -224,7 +224,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
 
         found = near_copies.groups(docs, doc_id, text, shingle, similarity)
     lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(materialise(lost, "simhash-lost"), F.col(doc_id) == F.col("_lost"), "left_anti")
+    lost = materialise(lost, "simhash-lost")
+    maybe = maybe_in(lost, F.col(doc_id))  # most rows are kept without a join
+    return docs.where(~maybe).unionByName(docs.where(maybe).join(lost, F.col(doc_id) == F.col("_lost"), "left_anti"))
 
 
 def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from addrloom.llm import common, simhash
 from addrloom.llm import near_copies as N
 from pyspark.sql import functions as F
 
@@ -72,3 +73,34 @@ def test_prefix_filter_keeps_texts_with_a_shared_passage_apart(spark):
     similar = {(i, j) for j in range(len(texts)) for i in range(j) if N.jaccard(sets[i], sets[j]) >= 0.8}
     assert similar <= met and len(similar) == 10
     assert len(met) <= 2 * len(similar)
+
+
+def test_texts_without_copies_are_not_shuffled(spark):
+    """One pair among long texts that are not alike, where no table is small enough to be broadcast."""
+    rng = random.Random(11)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(1500)) for _ in range(300)]
+    texts[7] = texts[6] + " more"
+    docs = common.materialise(spark.createDataFrame([*enumerate(texts), (None, "no id"), (-5, None)], "doc_id long, text string"), "test-docs")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled() -> int:
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    threshold, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = [r.doc_id for r in simhash.one_of_each(docs, shingle=5, similarity=0.8).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted(kept, key=str) == sorted([*(k for k in range(300) if k != 7), None, -5], key=str)
+    assert shuffled() - before < 0.2 * sum(map(len, texts))
+
+
+def test_marked_ids_hold_all(spark):
+    ids = [0, -1, 5, 1 << 62, -(1 << 63), None, *range(1000, 3000, 7)]
+    table = common.materialise(spark.createDataFrame([(x,) for x in ids], "id long"), "test-ids")
+    rows = spark.createDataFrame([(x,) for x in [*ids, *range(10_000, 20_000)]], "id long")
+    got = [r.id for r in rows.where(common.maybe_in(table, F.col("id"))).collect()]
+    assert set(ids) <= set(got) and len(got) < len(ids) + 2000
+    assert rows.where(common.maybe_in(common.materialise(table.limit(0), "test-ids"), F.col("id"))).count() == 0
