@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,6 +34,8 @@ from .common import fresh_path, kept, materialise, release, table
 
 MAGIC = b"ALZDOC1\n"
 MEMO_ENTRIES = 200_000
+#: White space between chunks, as blanks.
+BLANKS = bytes(ord(" ") if chr(c) in "\t\n\x0b\f\r" else c for c in range(256))
 #: Of Latin-1: its lower case, and the kinds of its characters: blanks, `a` letters and digits, `.` full stop and comma, `#` others.
 LOWER = bytes(ord(chr(c).lower()) if len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 256 else c for c in range(256))
 KINDS = bytes(ord(" " if chr(c) in " \t\n\x0b\f\r" else "." if chr(c) in ".," else "a" if chr(c).isascii() and chr(c).isalnum() or 192 <= c and c not in (215, 247) else "#") for c in range(256))
@@ -59,30 +62,26 @@ class ChunkEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def parted(self, text: bytes) -> tuple[list[bytes], bool]:
-        """The chunks of a text, and whether they are Latin-1 in lower case: so for a text in Latin-1 whose full stops and commas touch no
-        other mark. Those are pieces of their own then and are set apart, which leaves far fewer different chunks."""
+    def parted(self, text: bytes) -> tuple[bytes, bool]:
+        """A text with a blank behind each chunk, and whether it is Latin-1 in lower case: so for a text in Latin-1 whose full stops and
+        commas touch no other mark. Those are pieces of their own then and are set apart, which leaves far fewer different chunks."""
         try:
             latin = text.decode().encode("latin-1")
         except UnicodeEncodeError:
-            return text.split(), False
+            return text.translate(BLANKS) + b" ", False
         kinds = latin.translate(KINDS)
         if b".." in kinds or b".#" in kinds or b"#." in kinds or b"<|" in latin:
-            return text.split(), False
-        return latin.translate(LOWER).replace(b".", b" . ").replace(b",", b" , ").split(), True
+            return text.translate(BLANKS) + b" ", False
+        return latin.translate(BLANKS).translate(LOWER).replace(b".", b" . ").replace(b",", b" , ") + b" ", True
 
-    def _known(self, parts: list[list[bytes]], memo: dict, older: dict, learn) -> tuple[dict, dict]:
-        """Both generations of a memory, in which all chunks of the parts are known: what is met again moves to the new one."""
+    def _known(self, chunks: list[bytes], memo: dict, older: dict, learn) -> tuple[dict, dict]:
+        """Both generations of a memory, in which all of these different chunks are known: what is met again moves to the new one."""
         if len(memo) > MEMO_ENTRIES:
             memo, older = {}, memo
-        new: set[bytes] = set()
-        for p in parts:
-            new.update(p)
-        fresh = [x for x in new if x not in memo]
-        for x in fresh:
-            if x in older:
-                memo[x] = older[x]
-        if unknown := [x for x in fresh if x not in memo]:
+        fresh = [x for x in chunks if x not in memo]
+        again = list(map(older.get, fresh))
+        memo.update((x, ids) for x, ids in zip(fresh, again) if ids is not None)
+        if unknown := [x for x, ids in zip(fresh, again) if ids is None]:
             gc.disable()  # many small objects and no cycles
             learn(unknown, memo)
             gc.enable()
@@ -95,12 +94,13 @@ class ChunkEncoder:
         for x, e in zip(others, self.tokenizer.encode_batch_fast([x.decode("latin-1") for x in others], add_special_tokens=False)):
             memo[x] = np.array(e.ids, dtype=self.dtype).tobytes()
 
-    def _learn_words(self, names: list[bytes], memo: dict, at_once: int = 50_000) -> None:
-        """A word of letters is one piece, whose last token alone ends a word: many are encoded as one text and cut there. Where a
-        vocabulary has no word ends, they stay unknown here."""
+    def _learn_words(self, names: list[bytes], memo: dict, at_once: int = 50_000, a_text: int = 200) -> None:
+        """A word of letters is one piece, whose last token alone ends a word: many are encoded as one text, as short ones take the least
+        time a word, and cut there. Where a vocabulary has no word ends, they stay unknown here."""
         for a in range(0, len(names), at_once):
             part = names[a : a + at_once]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode("latin-1")], add_special_tokens=False)[0].ids)
+            lines = [b" ".join(part[k : k + a_text]).decode("latin-1") for k in range(0, len(part), a_text)]
+            ids = np.concatenate([np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part):
                 data, cuts = ids.astype(self.dtype).tobytes(), (ends * self.dtype.itemsize).tolist()
@@ -126,13 +126,28 @@ class ChunkEncoder:
             memo[x] = np.array(e.ids, dtype=self.dtype).tobytes()
         memo.update((c, words[w] + memo[tail] if tail else words[w]) for c, w, tail in simple if words[w] is not None)
 
+    def _joined(self, parts: list[bytes], memo: dict, older: dict, learn) -> tuple[list[bytes], dict, dict]:
+        """The ids of each part, and both generations of its memory. Different chunks alone become Python objects."""
+        if not parts:
+            return [], memo, older
+        data = b"".join(parts)
+        ends = np.concatenate([[0], np.flatnonzero(np.frombuffer(data, np.uint8) == ord(" ")) + 1])
+        at = np.searchsorted(ends, np.cumsum([0, *map(len, parts)]))
+        found = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        _, sizes, names = found.dictionary.buffers()
+        chunks = bytes(names[: int(np.frombuffer(sizes, np.int64)[len(found.dictionary)])]).split(b" ")[:-1]
+        memo, older = self._known([x for x in chunks if x], memo, older, learn)
+        ids = pa.array([memo[x] if x else b"" for x in chunks], pa.large_binary()).take(found.indices)
+        starts, out = np.frombuffer(ids.buffers()[1], np.int64)[at].tolist(), memoryview(ids.buffers()[2] or b"")
+        return [bytes(out[a:b]) for a, b in zip(starts, starts[1:])], memo, older
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
         parts = [self.parted(x) for x in texts]
-        self.plain = self._known([p for p, plain in parts if plain], *self.plain, self._learn_plain)
-        self.mixed = self._known([p for p, plain in parts if not plain], *self.mixed, self._learn_mixed)
-        plain, mixed = self.plain[0].__getitem__, self.mixed[0].__getitem__
-        return [b"".join(map(plain if is_plain else mixed, p)) for p, is_plain in parts]
+        plain, *self.plain = self._joined([p for p, is_plain in parts if is_plain], *self.plain, self._learn_plain)
+        mixed, *self.mixed = self._joined([p for p, is_plain in parts if not is_plain], *self.mixed, self._learn_mixed)
+        plain, mixed = iter(plain), iter(mixed)
+        return [next(plain if is_plain else mixed) for _, is_plain in parts]
 
 
 def encoder(path: str, width: int) -> ChunkEncoder:
@@ -250,6 +265,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | N
         import zstandard
         from pyspark import TaskContext
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the other cores have tasks of their own
         task = TaskContext.get()
         uri = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}"
         encode = encoder(tokenizer_path, width).encode

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -43,3 +44,23 @@ def test_one_document_by_index(spark):
 
 def test_empty_table(spark):
     assert T.token_digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_known_chunks_take_no_object_each():
+    """Their lookups were most of the time of op10_token_files: a text of known chunks may not become a Python object a chunk (33 bytes and more)."""
+    for text in (b"alpha Beta, gamma. ", "alpha Ωmega gamma ".encode()):
+        encoder, n = T.ChunkEncoder(PATH, 2), 200_000
+        once = encoder.encode([text])[0]
+        tracemalloc.start()
+        ids = encoder.encode([text * n])[0]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert ids == once * n
+        assert peak < 24 * n * len(text.split()) + 6 * len(text) * n, peak
+
+
+def test_groups_of_one_kind_and_white_space():
+    encoder = T.ChunkEncoder(PATH, 2)
+    for texts in ([], [""], ["", "  ", "\t\n\x0b\x0c\r"], ["ab\tcd\nab\x0bcd\x0cab\rcd"], ["Ω\tß\nΩ\x0bß\x0cΩ\rß "], ["a. b,c", "Ω", "", "a. b,c", "Ω x"], [f"w{i}x q{i * 7919 % 1000:x}z" for i in range(3000)]):
+        got = encoder.encode([x.encode() for x in texts])
+        assert [np.frombuffer(x, "<u2").tolist() + [2] for x in got] == expected(texts)
