@@ -128,7 +128,8 @@ LEVELS = 10  # of grids for nearest points, each half as high as the one before
 def radius_join(centers: DataFrame, points: DataFrame, radius_m: float, limit: int | None = None) -> DataFrame:
     """Points within a radius of each center (center_id, lat, lon), nearest first. Both sides get grid cells of the radius' height; a
     center looks into the cells its circle may touch, so the join is on (cell row, cell column) and no pair outside them is formed.
-    With a limit, each center's circle is first narrowed to one that is sure to hold so many points."""
+    With a limit, each center's circle is first narrowed to one that is sure to hold so many points. Its joins are merges: Spark's size
+    estimates leave out that rows are repeated for each grid, and would broadcast tables that the driver cannot hold."""
     reach = _degrees(F.lit(float(radius_m)))
     step = F.greatest(reach, F.lit(1e-4))
     far = haversine(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))
@@ -143,16 +144,16 @@ def radius_join(centers: DataFrame, points: DataFrame, radius_m: float, limit: i
     some = F.row_number().over(Window.partitionBy("_l", "_r", "_c").orderBy("point_id"))
     few = cells.select("_l", "_r", "_c", "point_id", "latitude", "longitude").withColumn("_n", some).where(F.col("_n") <= limit)
     full = few.groupBy("_l", "_r", "_c").agg(F.collect_list(F.struct("latitude", "longitude")).alias("_few")).where(F.size("_few") == limit)
-    own = _cell_of(leveled(centers.select("center_id", "lat", "lon")), "lat", "lon", finer).join(full, ["_l", "_r", "_c"])
+    own = _cell_of(leveled(centers.select("center_id", "lat", "lon")), "lat", "lon", finer).join(full.hint("merge"), ["_l", "_r", "_c"])
     bound = F.array_max(F.transform("_few", lambda x: haversine(F.col("lat"), F.col("lon"), x["latitude"], x["longitude"])))
     bounds = own.groupBy(F.col("center_id").alias("_id")).agg((F.min(bound) * (1 + 1e-9) + 1e-3).alias("_b"))
-    narrow = centers.join(bounds, F.col("center_id").eqNullSafe(F.col("_id")), "left")
+    narrow = centers.join(bounds.hint("merge"), F.col("center_id").eqNullSafe(F.col("_id")), "left")
     narrow = narrow.withColumn("_b", F.least(F.coalesce("_b", F.lit(float(radius_m))), F.lit(float(radius_m)))).drop("_id")
 
     # The circle is looked up in the finest grid that is no finer than it.
     level = F.floor(F.log2(step / _degrees(F.col("_b")))).cast("int")
     narrow = narrow.withColumn("_l", F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), level)))
-    out = _cells_near(narrow, _degrees(F.col("_b")), finer).join(cells, ["_l", "_r", "_c"])
+    out = _cells_near(narrow, _degrees(F.col("_b")), finer).join(cells.hint("merge"), ["_l", "_r", "_c"])
     out = out.withColumn("distance_m", far).where(F.col("distance_m") <= F.col("_b")).drop("_l", "_r", "_c", "_b")
     rank = F.row_number().over(Window.partitionBy("center_id").orderBy("distance_m", "point_id"))
     return out.withColumn("_n", rank).where(F.col("_n") <= limit).drop("_n")

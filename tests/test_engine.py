@@ -172,6 +172,18 @@ def test_nearest_points_form_few_pairs(spark):
     assert 0 < joined_rows(found._jdf.queryExecution().executedPlan()) < 100 * 5000
 
 
+def test_nearest_points_broadcast_no_large_table(spark):
+    """Both tables are small as Spark estimates them, but not once their rows are repeated for each grid; a driver could not hold them."""
+    place = lambda seed, low: low + 5.0 * F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    c = spark.range(20_000).select(F.col("id").alias("center_id"), place(1, 40).alias("lat"), place(2, 10).alias("lon"))
+    p = spark.range(20_000).select(F.col("id").alias("point_id"), place(3, 40).alias("latitude"), place(4, 10).alias("longitude"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1m")
+    try:
+        assert len(lookup.radius_join(c, p, 120_000.0, limit=3).select("center_id", "point_id").collect()) == 60_000
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_interpolation_takes_the_first_fitting_segment(spark):
     """Ranges of all widths, negative and single numbers, all parities, rows and segments with and without postal codes, against every pair."""
     rng = random.Random(7)
